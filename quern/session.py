@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,10 +38,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bound_arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
-    """Keep batches sent to Python workers small: texts may be very long."""
+_SHIPPED: set[str] = set()
+
+
+def ready_python(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
+    """Before Python runs on executors: send them this package, and keep Arrow batches small, as texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="quern-")) / "quern.zip"  # Spark's own file server hands it to executors
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(here.rglob("*.py")):
+            out.write(source, source.relative_to(here.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
 
 
 def fresh(df: DataFrame, base: str) -> str:

@@ -10,9 +10,6 @@ sys.path.insert(0, str(ROOT))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    import os
-
-    os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")

@@ -11,7 +11,7 @@ doc AS (SELECT doc_id, {_LIST.format("coalesce(text, '')")} AS w FROM documents)
 size AS (SELECT DISTINCT n FROM pattern),
 place AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM doc, size WHERE len(w) >= n),
 met AS (SELECT doc_id, k, place.n, item_id FROM place JOIN pattern ON place.n = pattern.n AND array_to_string(w[k : k + place.n - 1], ' ') = pattern.p),
-hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS at FROM met) GROUP BY doc_id),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM met) GROUP BY doc_id),
 own AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -32,7 +32,7 @@ from quern.llm.words import map_batches, texts_of
 #: How the vocabulary's pre-tokeniser cuts text into words (a fixed value of the format).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 MAX_VOCABULARY_MB = 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000  #: a task's table of encoded words, about 250 bytes each
 
 
 def default_vocabulary() -> str:
@@ -63,7 +63,10 @@ class Codec:
             self.bytes_of[i] = b
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
-        self.longest = max(map(len, self.vocab))
+        self.reach: dict[bytes, int] = {}
+        for b in self.vocab:
+            if len(b) > 1:
+                self.reach[b[:2]] = max(len(b), self.reach.get(b[:2], 1))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         parts, made = np.full((self.size, 2), -1), np.full(self.size, -1)
@@ -119,6 +122,22 @@ class Codec:
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: always the lowest rank, leftmost first."""
         ids = [self.vocab[word[k : k + 1]] for k in range(len(word))]
+        if len(ids) > 200:
+            return self._merge_long(ids)
+        rank, none = self.rank.get, (len(self.rank), -1)
+        ranks = [rank(p, none) for p in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) is not none:
+            k = ranks.index(least)
+            ids[k : k + 2] = least[1:]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank((ids[k - 1], ids[k]), none)
+            if k < len(ranks):
+                ranks[k] = rank((ids[k], ids[k + 1]), none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a queue, for words whose length squared would hurt."""
         after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
         queue = [(*self.rank[p], k, *p) for k in range(len(ids) - 1) if (p := (ids[k], ids[k + 1])) in self.rank]
         heapq.heapify(queue)
@@ -136,12 +155,12 @@ class Codec:
         return [i for i in ids if i >= 0]
 
     def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        vocab, out, at, n = self.vocab, [], 0, len(word)
+        """Greedy longest match, from the longest token with these two first bytes downwards."""
+        vocab, reach, out, at, n = self.vocab.get, self.reach.get, [], 0, len(word)
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                if (t := vocab.get(word[at:end])) is not None:
-                    break
+            end = min(n, at + reach(word[at : at + 2], 1))
+            while (t := vocab(word[at:end])) is None:
+                end -= 1
             out.append(t)
             at = end
         return out

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.words import map_batches, texts_of
+from quern.llm.words import few_by_hash, map_batches, texts_of
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -176,7 +176,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     step = F.greatest(F.lit(part), F.floor(F.length(encoded) / pieces))
     cut = lambda k: F.substring(encoded, (F.lit(1) + step * k + F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(F.lit(1), step - part + 1))).cast("int"), F.lit(part))
     chosen = source.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.concat(*(cut(k) for k in range(pieces))).alias("raw"), F.col(label_col).alias("label"))
-    rows = chosen.orderBy("h", "id", "raw").limit(sample_rows).collect()
+    rows = few_by_hash(chosen, "h", source.count(), sample_rows).orderBy("h", "id", "raw").limit(sample_rows).collect()
     return fit([bytes(r["raw"]) for r in rows], [r["label"] for r in rows])
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.quality_rules import repeated_words
-from quern.llm.words import map_batches, texts_of
+from quern.llm.words import few_by_hash, map_batches, texts_of
 
 SAMPLE_ROWS = 12_000  #: labelled rows for training at most, those of least hash of their id
 TREES = 80
@@ -144,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     named = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     named = named.where(learn) if learn is not None else named
-    chosen = named.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    ids = named.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).alias("y")).withColumn("h", F.xxhash64("id"))
+    chosen = few_by_hash(ids, "h", ids.count(), sample_rows).orderBy("h", "id").limit(sample_rows).select("id", "y")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
     got = _feature_rows(rows.select(F.col("y").cast("int").alias("y"), "text"), "y int", ["y"]).limit(2 * sample_rows).toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quern.session import ready_python
 
@@ -41,6 +42,13 @@ def ascii_lower(raw: bytes) -> bytes:
     return raw.translate(_LOWER)
 
 
+def few_by_hash(df: DataFrame, hashed: str, rows: int, most: int) -> DataFrame:
+    """Rows whose hash column is small enough that about twice ``most`` of all ``rows`` are left: what tasks then
+    send for a sample of the least hashes doesn't grow with their number."""
+    share = min(1.0, (2 * most + 200) / max(1, rows))
+    return df if share >= 1 else df.where(F.col(hashed) < int(share * 2**64) - 2**63)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The texts of a batch as UTF-8 bytes; null is the empty text."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]

@@ -1,23 +1,178 @@
-"""Exact clusters over ``documents``."""
+"""Exact clusters, text expressions and near pairs over ``documents``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import clusters
+from quern.functions import text as T
+from quern.operators import clusters, graph, similarity
+from quern.operators.routing import length_band
 from quern.session import table
 
 _KEY = "sha256(regexp_replace(lower(text), '\\s+', '', 'g'))"
 
 
-def exact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.exact_clusters(table(spark, sf_dir, "documents"), clusters.ascii_key(F.col("text")), "doc_id", "source")
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
 
 
-QUERIES = {"exact_clusters": exact_clusters}
+def exact_clusters(spark, sf_dir):
+    return clusters.exact_clusters(_docs(spark, sf_dir), clusters.ascii_key(F.col("text")), "doc_id", "source")
+
+
+def cluster_members_ranked(spark, sf_dir):
+    return clusters.members(_docs(spark, sf_dir), clusters.ascii_key(F.col("text")), "doc_id", "source").withColumnRenamed("id", "doc_id")
+
+
+def cluster_label_conflict(spark, sf_dir):
+    docs, labels = _docs(spark, sf_dir).select("doc_id", clusters.ascii_key(F.col("text")).alias("cluster_key")), table(spark, sf_dir, "labels")
+    marked = docs.join(labels, "doc_id")
+    per = marked.groupBy("cluster_key").agg(F.countDistinct("quality").alias("labels"), F.count(F.lit(1)).alias("labelled"))
+    return marked.join(per, "cluster_key").select("doc_id", "cluster_key", "quality", "labelled", (F.col("labels") > 1).alias("conflict"))
+
+
+def complete_representative(spark, sf_dir):
+    """The most complete member of each cluster (longest text), ties to the least id: one aggregate, no window."""
+    docs = _docs(spark, sf_dir).select("doc_id", "n_chars", clusters.ascii_key(F.col("text")).alias("cluster_key"))
+    best = docs.groupBy("cluster_key").agg(F.min(F.struct((-F.col("n_chars")).alias("n"), "doc_id")).alias("b"))
+    return best.select("cluster_key", F.col("b.doc_id").alias("representative"), (-F.col("b.n")).alias("completeness"))
+
+
+def normalised_lengths(spark, sf_dir):
+    flat = F.trim(F.regexp_replace(F.lower("text"), r"[ \t\r\n]+", " "))
+    return _docs(spark, sf_dir).select("doc_id", F.length("text").cast("bigint").alias("raw_chars"), F.length(flat).cast("bigint").alias("flat_chars"), F.sha2(flat.cast("binary"), 256).alias("flat_sha"))
+
+
+def normalised_text(spark, sf_dir):
+    """The whole normalisation chain (NFKC, emoji by grapheme)."""
+    clean = T.normalise(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(clean.cast("binary"), 256).alias("model_sha"), T.exact_key(F.lit(None).cast("string"), F.col("text")).alias("exact_key"), F.length(clean).cast("bigint").alias("model_chars"))
+
+
+def topic_mention_counts(spark, sf_dir):
+    count = lambda p: F.regexp_count("text", F.lit(p)).cast("bigint")
+    return _docs(spark, sf_dir).select("doc_id", count("#([^#\n]{1,100})#").alias("topics"), count("@[A-Za-z0-9_]+").alias("mentions"), count("[!?]").alias("marks"))
+
+
+def structure_gate(spark, sf_dir):
+    status = F.when(F.trim("text") == "", "empty").when(F.col("source").isin("src1", "src2"), "bad_status").when(F.col("text").rlike(T.PLACEHOLDER), "placeholder").when(F.length("text") < 20, "uncertain").otherwise("usable")
+    return _docs(spark, sf_dir).select("doc_id", status.alias("structure_status"))
+
+
+def structure_counts(spark, sf_dir):
+    """The gate of the full chain: title, body and status."""
+    status = T.structure_status(F.lit(None).cast("string"), F.col("text"), F.when(F.col("source") == "src3", "deleted").otherwise("ok"))
+    return _docs(spark, sf_dir).groupBy(status.alias("structure_status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def length_bands(spark, sf_dir):
+    return _docs(spark, sf_dir).groupBy(length_band(F.length("text")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
+
+
+def sentence_counts(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.size(F.split("text", r"[.!?;]|\n")).cast("bigint").alias("pieces"))
+
+
+def author_pseudonyms(spark, sf_dir):
+    """Keyed pseudonyms and masked names of sources."""
+    return _docs(spark, sf_dir).select("source").distinct().select("source", T.hmac_sha256("key", F.col("source")).alias("pseudonym"), T.masked(F.col("source")).alias("shown"), F.sha2(F.col("source").cast("binary"), 256).alias("digest"))
+
+
+def source_digests(spark, sf_dir):
+    return _docs(spark, sf_dir).select("source").distinct().select("source", T.masked(F.col("source")).alias("shown"), F.sha2(F.col("source").cast("binary"), 256).alias("digest"))
+
+
+_RULES = similarity.Blocking(low=4, high=4)
+
+
+def gram_df(spark, sf_dir):
+    """Document frequency of the benchmark's 4-grams."""
+    return similarity.gram_df(similarity.grams(table(spark, sf_dir, "benchmark"), "item_id", "text", 4, 4))
+
+
+def blocking_keys(spark, sf_dir):
+    return similarity.blocking_keys(table(spark, sf_dir, "benchmark"), "item_id", "text", _RULES).withColumnRenamed("id", "item_id")
+
+
+def candidate_pairs(spark, sf_dir):
+    return similarity.candidate_pairs(similarity.blocking_keys(table(spark, sf_dir, "benchmark"), "item_id", "text", _RULES))
+
+
+def near_pairs(spark, sf_dir):
+    return similarity.near_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", 0.8)
+
+
+def near_components(spark, sf_dir):
+    """Components of documents that share an exact key, or a first line of at least 30 characters."""
+    docs = _docs(spark, sf_dir)
+    first = F.split("text", "\n")[0]
+    keys = docs.select("doc_id", F.explode(F.array(F.concat(F.lit("k"), clusters.ascii_key(F.col("text"))), F.when(F.length(first) >= 30, F.concat(F.lit("f"), first)))).alias("key")).where("key is not null")
+    least = keys.groupBy("key").agg(F.min("doc_id").alias("low"))
+    edges = keys.join(least, "key").select(F.col("doc_id").alias("src"), F.col("low").alias("dst"))
+    found = graph.connected_components(edges)
+    return docs.select("doc_id").join(found, docs.doc_id == found.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+
+
+def word_log_ratio(spark, sf_dir):
+    """Smoothed log ratio of word counts in toxic against other labelled documents."""
+    docs = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    words = docs.select("toxic", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("term")).groupBy("term", "toxic").agg(F.count(F.lit(1)).alias("tf"))
+    return similarity.term_log_ratio(words, F.col("toxic") == 1).select("term", F.round("log_ratio", 6).alias("log_ratio"))
+
+
+QUERIES = {f.__name__: f for f in (
+    exact_clusters, cluster_members_ranked, cluster_label_conflict, complete_representative, normalised_lengths, normalised_text, topic_mention_counts, structure_gate, structure_counts, length_bands,
+    sentence_counts, author_pseudonyms, source_digests, gram_df, blocking_keys, candidate_pairs, near_pairs, near_components, word_log_ratio,
+)}
+
+_GRAMS = """grams AS (SELECT DISTINCT item_id, line[i : i + 3] AS gram FROM (SELECT item_id, line, unnest(range(1, length(line) - 2)) AS i
+  FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE length(line) >= 4)),
+n AS (SELECT count(*) AS n FROM benchmark)"""
+_KEYS = f"""{_GRAMS}, df AS (SELECT gram, count(*) AS df FROM grams GROUP BY gram),
+keys AS (SELECT item_id, gram, df FROM (SELECT item_id, gram, df, row_number() OVER (PARTITION BY item_id ORDER BY df, length(gram) DESC, gram) AS r FROM grams JOIN df USING (gram), n
+  WHERE df BETWEEN 2 AND greatest(2, least(200, CAST(floor(n.n * 0.05) AS BIGINT)))) WHERE r <= 12)"""
+
 ORACLES = {
-    "exact_clusters": f"""
-SELECT {_KEY} AS cluster_key, count(*) AS cluster_size, min(doc_id) AS representative, min(source) <> max(source) AS cross_platform
-FROM documents GROUP BY 1"""
+    "exact_clusters": f"SELECT {_KEY} AS cluster_key, count(*) AS cluster_size, min(doc_id) AS representative, min(source) <> max(source) AS cross_platform FROM documents GROUP BY 1",
+    "cluster_members_ranked": f"""
+WITH d AS (SELECT doc_id, {_KEY} AS cluster_key FROM documents)
+SELECT doc_id, cluster_key, count(*) OVER w AS cluster_size, min(doc_id) OVER w AS representative, doc_id = min(doc_id) OVER w AS is_representative FROM d WINDOW w AS (PARTITION BY cluster_key)""",
+    "cluster_label_conflict": f"""
+WITH d AS (SELECT doc_id, {_KEY} AS cluster_key, quality FROM documents JOIN labels USING (doc_id)),
+p AS (SELECT cluster_key, count(DISTINCT quality) AS labels, count(*) AS labelled FROM d GROUP BY 1)
+SELECT doc_id, cluster_key, quality, labelled, labels > 1 AS conflict FROM d JOIN p USING (cluster_key)""",
+    "complete_representative": f"""
+SELECT cluster_key, doc_id AS representative, n_chars AS completeness FROM (
+  SELECT doc_id, n_chars, {_KEY} AS cluster_key, row_number() OVER (PARTITION BY {_KEY} ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1""",
+    "normalised_lengths": r"""
+SELECT doc_id, CAST(length(text) AS BIGINT) AS raw_chars, CAST(length(f) AS BIGINT) AS flat_chars, sha256(f) AS flat_sha
+FROM (SELECT doc_id, text, trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g')) AS f FROM documents)""",
+    "topic_mention_counts": r"""
+SELECT doc_id, CAST(len(regexp_extract_all(text, '#([^#\n]{1,100})#')) AS BIGINT) AS topics, CAST(len(regexp_extract_all(text, '@[A-Za-z0-9_]+')) AS BIGINT) AS mentions,
+  CAST(len(regexp_extract_all(text, '[!?]')) AS BIGINT) AS marks FROM documents""",
+    "structure_gate": r"""
+SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN source IN ('src1', 'src2') THEN 'bad_status'
+  WHEN regexp_matches(text, '(?i)^(?:null|none|n/?a|nan|undefined|deleted|removed|\[deleted\]|\[removed\])$') THEN 'placeholder' WHEN length(text) < 20 THEN 'uncertain' ELSE 'usable' END AS structure_status FROM documents""",
+    "length_bands": """
+SELECT CAST(CASE WHEN length(text) >= 400 THEN 4 WHEN length(text) >= 150 THEN 3 WHEN length(text) >= 60 THEN 2 WHEN length(text) >= 20 THEN 1 ELSE 0 END AS INTEGER) AS band,
+  count(*) AS n, min(n_chars) AS shortest, max(n_chars) AS longest FROM documents GROUP BY 1""",
+    "sentence_counts": r"SELECT doc_id, CAST(len(regexp_split_to_array(text, '[.!?;]|\n')) AS BIGINT) AS pieces FROM documents",
+    "source_digests": """
+SELECT DISTINCT source, CASE WHEN length(source) <= 1 THEN '*' WHEN length(source) = 2 THEN source[1:1] || '*' ELSE source[1:1] || repeat('*', length(source) - 2) || right(source, 1) END AS shown,
+  sha256(source) AS digest FROM documents""",
+    "gram_df": f"WITH {_GRAMS} SELECT gram, count(*) AS df FROM grams GROUP BY gram",
+    "blocking_keys": f"WITH {_KEYS} SELECT item_id, gram, df FROM keys",
+    "candidate_pairs": f"WITH {_KEYS} SELECT a.item_id AS left_id, b.item_id AS right_id, count(*) AS shared_keys FROM keys a JOIN keys b ON a.gram = b.gram AND a.item_id < b.item_id GROUP BY 1, 2",
+    "near_components": f"""
+WITH RECURSIVE d AS (SELECT doc_id, 'k' || {_KEY} AS key FROM documents UNION ALL SELECT doc_id, 'f' || string_split(text, chr(10))[1] FROM documents WHERE length(string_split(text, chr(10))[1]) >= 30),
+star AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY key) AS b FROM d),
+edge AS (SELECT DISTINCT a, b FROM star WHERE a <> b UNION SELECT DISTINCT b, a FROM star WHERE a <> b),
+reach AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT edge.b, reach.c FROM reach JOIN edge ON reach.a = edge.a)
+SELECT a AS doc_id, min(c) AS component FROM reach GROUP BY a""",
+    "word_log_ratio": """
+WITH w AS (SELECT toxic, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents JOIN labels USING (doc_id)),
+s AS (SELECT term, count(*) FILTER (toxic = 1) + 1.0 AS a, count(*) FILTER (toxic <> 1) + 1.0 AS b FROM w GROUP BY term),
+t AS (SELECT CAST(sum(a) AS DOUBLE) AS ta, CAST(sum(b) AS DOUBLE) AS tb FROM s)
+SELECT term, round(ln((CAST(a AS DOUBLE) / ta) / (CAST(b AS DOUBLE) / tb)), 6) AS log_ratio FROM s, t""",
 }

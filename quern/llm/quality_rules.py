@@ -26,6 +26,7 @@ from quern.session import fresh
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
+LEAST_LINES = 5  #: for the share of unended lines to say anything
 #: Rule, and the share from which it calls a document bad; below that it abstains.
 DEFECTS = (
     ("symbols_per_word", 0.10),
@@ -98,7 +99,7 @@ def statistics(raw: bytes) -> dict:
             duplicates / len(lines),
             repeats / n,
             max(counts.values()) / n if n >= MIN_WORDS else 0.0,
-            1 - ended / len(lines),
+            1 - ended / len(lines) if len(lines) >= LEAST_LINES else 0.0,
             shouted / n,
             0.0 if 3 <= mean <= 10 else 1.0 if mean < 2 or mean > 15 else 0.5,
             1.0 if n < MIN_WORDS else 0.5 if n < 2 * MIN_WORDS else 0.0,

@@ -1,0 +1,487 @@
+"""Each corpus operator against a plain version on small tables with nulls, empty and long texts, ties and repeats."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quern.llm import bpe, decontaminate, language_id, license_scan, line_dedup, quality_classifier, quality_rules, reshard, secret_scan, simhash_dedup
+from quern.llm.queries import QUERIES
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, contamination int, quality string, fp string"
+WORDS = "alder birch cedar dogwood elm fir ginkgo hazel ivy juniper katsura larch maple nutmeg oak pine quince rowan spruce tulip".split()
+
+
+def prose(seed, n=60):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + str(r.randrange(9)) for _ in range(n))
+
+
+def sentence_lines(seed, lines=4, n=14):
+    return "\n".join(prose((seed, k).__hash__(), n).capitalize() + "." for k in range(lines))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = [sentence_lines(k) for k in range(30)]
+    near = base[3].replace(".", "!", 1)
+    texts = [None, "", " \n\t ", *base, base[0], near, base[5] + "\n" + base[6].split("\n")[0], "x", "日本 word Ünïcode ﬁ\x00é", " ".join(["big"] * 5) + " " + prose(77, 30_000), base[0]]
+    rows = [(k if k != 5 else None, t, "en" if k % 3 else "de", "s", len(t or ""), "x", 1, "q", "f") for k, t in enumerate(texts)]
+    rows += [rows[7], rows[7]]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def collected(df, *columns):
+    return [tuple(r[c] for c in columns) for r in df.collect()]
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def alnum(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+
+
+def empty(docs):
+    return docs.where("false")
+
+
+# --- 1. BPE
+
+
+def test_bpe_equals_library(docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    for text, ids, decoded in collected(bpe.round_trip(docs), "text", "input_ids", "decoded"):
+        assert ids == t.encode(text or "", add_special_tokens=False).ids
+        assert decoded == t.decode(ids, skip_special_tokens=False)
+    assert bpe.round_trip(docs).count() == docs.count()
+    assert set(docs.columns) <= set(bpe.encode(docs).columns)
+    assert bpe.encode(empty(docs)).count() == 0
+
+
+def test_bpe_special_tokens_spaces_and_speculation():
+    from tokenizers import Tokenizer
+
+    t, codec, r = Tokenizer.from_file(bpe.default_vocabulary()), bpe.Codec(open(bpe.default_vocabulary(), "rb").read(), cache_words=50), random.Random(5)
+    pieces = ["<|endoftext|>", " ", "\n", "a", "the", "'ll", "123", "日本", "é", " ", "\x1c", "----", "aaaa", "<|"]
+    for _ in range(400):
+        s = "".join(r.choice(pieces) for _ in range(r.randrange(12)))
+        assert codec.encode_batch([s])[0].tolist() == t.encode(s, add_special_tokens=False).ids
+    vocab = list(codec.vocab)
+    for _ in range(400):
+        w = b"".join(r.choice(vocab) for _ in range(r.randint(1, 3)))
+        assert codec.encode_words([w])[0].tolist() == codec.merge(w)
+        assert codec._merge_long([codec.vocab[w[k : k + 1]] for k in range(len(w))]) == codec.merge(w)
+    assert codec.decode([]) == "" and bpe.Codec.decode(codec, [codec.vocab[b"\xc3"]]) == "�"
+
+
+def test_bpe_decode_alone(docs):
+    ids = bpe.encode(docs.select("doc_id", "text"))
+    for text, decoded in collected(bpe.decode(ids), "text", "decoded"):
+        assert decoded == (text or "")
+
+
+# --- 2. quality classifier
+
+
+def junk(seed):
+    return " ".join(w + r"###" for w in prose(seed, 40).split())
+
+
+def test_classifier_learns_and_scores_everything(spark, docs):
+    rows = [(k, sentence_lines(k) if k % 4 else junk(k)) for k in range(400)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(400)] + [(None, 1), (3, 7)], "doc_id bigint, quality int")
+    forest = quality_classifier.train(table, labels, learn=F.col("doc_id") % 2 == 0)
+    found = dict(collected(quality_classifier.score(table, forest), "id", "predicted"))
+    held = [k for k in range(400) if k % 2]
+    assert np.mean([found[k] == int(k % 4 > 0) for k in held]) > 0.97
+    scores = collected(quality_classifier.score(docs, forest), "score", "predicted")
+    assert len(scores) == docs.count() and all(0 <= s <= 1 and p == int(s >= 0.5) for s, p in scores)
+    none = quality_classifier.train(table, labels.where("false"))
+    assert {s for (s,) in collected(quality_classifier.score(docs, none), "score")} == {0.5}
+    assert quality_classifier.score(empty(docs), forest).count() == 0
+
+
+def test_flattened_forest_equals_walking():
+    r = np.random.default_rng(1)
+    x, y = r.normal(size=(500, 5)), None
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    forest = quality_classifier.fit(x, y, trees=10, depth=3)
+
+    def walk(row):
+        total = forest.start
+        for f, t, v in zip(forest.feature, forest.threshold, forest.value):
+            node = 0
+            for _ in range(3):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            total += v[node - 7]
+        return total
+
+    assert np.allclose(forest.margin(x), [walk(row) for row in x])
+    assert ((quality_classifier.fit(x, y).score(x) > 0.5) == y).mean() > 0.9  # with the trees of production
+
+
+# --- 3. resharding
+
+
+def test_flow_moves_the_fewest_bytes():
+    r = random.Random(2)
+    for _ in range(30):
+        n, m = r.randint(1, 5), r.randint(1, 6)
+        supply = [r.randint(0, 50) for _ in range(n)]
+        capacity = [r.randint(0, 60) for _ in range(m)]
+        if sum(capacity) < sum(supply):
+            capacity[0] += sum(supply) - sum(capacity)
+        flow = reshard.min_cost_flow(supply, capacity, lambda i, j: float(i != j))
+        assert [sum(f for (i, _), f in flow.items() if i == k) for k in range(n)] == supply
+        assert all(sum(f for (_, j), f in flow.items() if j == k) <= capacity[k] for k in range(m))
+        stays = sum(min(supply[k], capacity[k]) for k in range(min(n, m)))
+        assert sum(f for (i, j), f in flow.items() if i != j) == sum(supply) - stays
+    with pytest.raises(ValueError):
+        reshard.min_cost_flow([5], [4], lambda i, j: 0)
+
+
+def test_reshard_places_all_rows_evenly(spark, docs, tmp_path):
+    many = spark.createDataFrame([(k, prose(k % 200, 10 + k % 40)) for k in range(1000)] + [(5000 + k, "copy of one text " * 4) for k in range(500)], "doc_id bigint, text string")
+    rows, plan = reshard.reshard(many, reshard.shard_by_hash(shards=4), 4, [1 / 6] * 6)
+    got = rows.collect()
+    texts = dict(many.collect())
+    assert len(got) == 1500
+    assert all(r["size"] == len(texts[r["id"]].encode()) + 8 and r["text_crc32"] == zlib.crc32(texts[r["id"]].encode()) for r in got)
+    size = collections.Counter()
+    slots = collections.defaultdict(list)
+    for r in got:
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(size.values()) - min(size.values()) <= 600
+    assert plan.affected
+    reshard.rewrite_affected(many, rows, plan, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert {(r["doc_id"], r["shard"]) for r in back.collect()} == {(r["id"], r["shard"]) for r in got if r["shard"] in plan.affected}
+    odd, _ = reshard.reshard(docs, reshard.shard_by_hash(shards=4), 4, [0.5, 0.5])
+    assert odd.count() == docs.count() and odd.where("size = 8 and text_crc32 = 0").count() >= 2
+    assert reshard.reshard(empty(docs), reshard.shard_by_hash(shards=4), 4, [0.5, 0.5])[0].count() == 0
+
+
+# --- 4. decontamination
+
+
+def plain_contamination(texts, items, window=10):
+    wins = collections.defaultdict(set)
+    for item, text in items:
+        w = alnum(text) if item is not None else []
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            wins[tuple(w[k : k + window])].add(str(item))
+    out = []
+    for text in texts:
+        w, hit, own = alnum(text), set(), set()
+        for n in {len(k) for k in wins}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in wins:
+                    hit |= set(range(k, k + n))
+                    own |= wins[tuple(w[k : k + n])]
+        out.append((len(w), len(hit), sorted(own)))
+    return out
+
+
+@pytest.mark.parametrize("megabytes", [64, 0])
+def test_contamination(spark, docs, megabytes):
+    items = [(1, sentence_lines(3)), (2, "BIG big, big"), (2, "日本 word"), (3, None), (None, "x"), (4, "..."), (10, sentence_lines(3)[20:200])]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = collected(decontaminate.contamination(docs, bench, max_items_mb=megabytes), "text", "contamination")
+    want = plain_contamination([t for t, _ in got], items)
+    for (text, c), (n, hit, own) in zip(got, want):
+        assert (c["n_words"], c["n_hit"], c["items"]) == (n, hit, own)
+        assert sum(len(alnum(text[s["start"] : s["end"]])) for s in c["spans"]) == hit
+    clean = decontaminate.decontaminate(docs, bench)
+    assert clean.columns == docs.columns
+    assert clean.count() == sum(h == 0 for _, h, _ in want)
+    assert decontaminate.decontaminate(docs, bench.where("false")).count() == docs.count()
+    assert decontaminate.decontaminate(empty(docs), bench).count() == 0
+
+
+# --- 5. secrets
+
+
+def test_secret_spans(spark):
+    r = random.Random(3)
+    parts = ["token = ", "Secret: 'abcd1234'", "pass", "word", "password==", "x" * 9, "AKIA", "ABCDEFGH1234", "\n", " ", "0123456789abcdef" * 2, '"', "api_key:", "é", "apikey = ", "😀", "deadbeef"]
+    texts = [None, "", *("".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(300))]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for k, base, spans in collected(secret_scan.scan_secrets(table), "id", "base", "spans"):
+        t = texts[k] or ""
+        want = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 8] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        assert [(s["start"], s["rank"], s["end"]) for s in base] == sorted(want)
+        assert {(s["start"], s["kind"]) for s in base} <= {(s["start"], s["kind"]) for s in spans}
+
+
+def test_weak_parts_need_complements(spark):
+    key, secret, url = "QWERTYUIOP123456", "aB3" * 8, "https://db.example.org/x"
+    far = " word" * 200
+    texts = [key, secret, url, f"{key} and {secret}", f"{secret} at {url}", f"{key} at {url}", f"{key}{far} {secret}", f"{key} {secret}{far} {key}"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {k: [s["kind"] for s in spans if s["rank"] > 2] for k, spans in collected(secret_scan.scan_secrets(table), "id", "spans")}
+    assert [found[k] for k in range(8)] == [[], [], [], ["weak_identifier", "weak_secret"], ["weak_secret", "weak_endpoint"], [], [], ["weak_identifier", "weak_secret"]]
+
+
+# --- 6. SimHash
+
+
+def plain_simhash(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+    shingles = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def plain_components(values, near):
+    root = list(range(len(values)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(values)):
+        for j in range(i):
+            if near(values[i], values[j]):
+                root[find(i)] = find(j)
+    return [find(k) for k in range(len(values))]
+
+
+def test_simhash_groups(docs):
+    got = collected(simhash_dedup.near_duplicates(docs), "id", "text_key", "fp", "component", "keeper")
+    texts = {(r[0], r[1]): r[2] for r in docs.select("doc_id", F.xxhash64("text"), "text").collect()}
+    assert len(got) == docs.count()
+    assert all(fp & simhash_dedup._MASK == plain_simhash(texts[i, k]) for i, k, fp, _, _ in got)
+    roots = plain_components([g[2] & simhash_dedup._MASK for g in got], lambda a, b: (a ^ b).bit_count() <= 2)
+    ids = collections.defaultdict(list)
+    for g, r in zip(got, roots):
+        ids[r].append(g[0])
+    for g, r in zip(got, roots):
+        assert g[3] == min((i for i in ids[r] if i is not None), default=None)
+    left = simhash_dedup.deduplicate(docs)
+    assert left.columns == docs.columns and left.select("doc_id").distinct().count() == len(ids)
+    assert simhash_dedup.near_duplicates(empty(docs)).count() == 0
+
+
+@pytest.mark.parametrize("nodes", [2048, 3])
+def test_shard_trees_lose_no_link(spark, nodes):
+    r, values = random.Random(4), {0, 2**64 - 1}
+    for _ in range(25):
+        x = r.getrandbits(64)
+        for _ in range(8):
+            values.add(x)
+            x ^= 1 << r.randrange(64)
+    values = sorted(values)
+    signed = [v - 2**64 if v >= 2**63 else v for v in values]
+    links = collected(simhash_dedup.link_fingerprints(spark.createDataFrame([(v,) for v in signed], "fp bigint"), tree_nodes=nodes), "src", "dst")
+    at = {v: k for k, v in enumerate(signed)}
+    pairs = {(at[a], at[b]) for a, b in links}
+    assert all((values[a] ^ values[b]).bit_count() <= 2 * len(values) for a, b in pairs)
+    joined = plain_components(range(len(values)), lambda a, b: (a, b) in pairs or (b, a) in pairs)
+    want = plain_components(values, lambda a, b: (a ^ b).bit_count() <= 2)
+    assert len(set(joined)) == len(set(want))
+    assert all((joined[a] == joined[b]) == (want[a] == want[b]) for a in range(len(values)) for b in range(a))
+
+
+# --- 7. quality rules
+
+
+def plain_repeats(words):
+    at = collections.defaultdict(list)
+    for k in range(len(words) - 7):
+        at[tuple(words[k : k + 8])].append(k)
+    return len({x for v in at.values() if len(v) > 1 for k in v for x in range(k, k + 8)})
+
+
+def test_quality_rules(spark, docs):
+    loop = "one two three four five six seven eight nine ten " * 6
+    rows = [(k, t) for k, t in enumerate([loop, "a b a b a b a b a b a b", junk(1), junk(1).upper(), *(sentence_lines(k) for k in range(60)), *(junk(k) for k in range(9))])]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    for text, q in collected(quality_rules.judge(table), "text", "quality"):
+        t = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in seen
+                seen.add(line)
+        rep = plain_repeats(w)
+        failed = len(w) < 20 or 100 * rep > 30 * len(w)
+        assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"], q["base_failed"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, rep, failed)
+        assert q["kept"] == (not failed and q["posterior"] >= 0.5)
+        assert not (q["kept"] and "###" in t)
+        assert q["kept"] or failed or "###" in t
+    good = quality_rules.keep_good(docs)
+    assert good.columns == docs.columns and {q for (q,) in collected(good, "quality")} == {"q"}
+    assert quality_rules.keep_good(empty(docs)).count() == 0
+
+
+def test_votes_find_accuracies():
+    r = np.random.default_rng(0)
+    truth = r.random(4000) < 0.7
+    vote = np.zeros((4000, quality_rules.N_RULES), int)
+    for k in range(4):
+        right = r.random(4000) < (0.95, 0.9, 0.8, 0.7)[k]
+        vote[:, k] = np.where(r.random(4000) < 0.8, np.where(right == truth, 1, -1), 0)
+    values, counts = np.unique([quality_rules.pattern(tuple(v)) for v in vote.tolist()], return_counts=True)
+    model = quality_rules.fit_votes(values, counts.astype(float))
+    assert np.allclose(model.accuracy[:4], (0.95, 0.9, 0.8, 0.7), atol=0.06)
+    assert ((model.posterior(vote) > 0.5) == truth).mean() > 0.9
+
+
+# --- 8. language
+
+
+def test_language(spark, docs):
+    alphabet = {"aa": "the of and with from this that".split(), "bb": "der die und nicht ein zu mit".split(), "cc": "él niño está aquí señor qué".split()}
+    r = random.Random(6)
+    rows = [(k, " ".join(r.choice(alphabet[x]) for _ in range(r.randint(8, 400))), x) for k in range(300) for x in [("aa", "bb", "cc")[k % 3]]]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = language_id.train(table, learn=F.col("doc_id") % 4 != 2)
+    found = dict((i, p) for i, p in collected(language_id.identify(table, net), "id", "lang_pred"))
+    assert np.mean([found[i] == x for i, _, x in rows if i % 4 == 2]) > 0.97
+    odd = collected(language_id.identify(docs, net).join(docs.select(F.col("doc_id").alias("id"), "text"), "id"), "text", "lang_pred", "score")
+    assert all((p == "und" and s == 0) == (not re.search(r"[^\W\d_]", t or "")) for t, p, s in odd)
+    assert all(0 <= s <= 1 for _, _, s in odd)
+    none = language_id.train(table.where("false"))
+    assert none is None and {p for (p,) in collected(language_id.identify(docs, none), "lang_pred")} == {"und"}
+    assert language_id.identify(empty(docs), net).count() == 0
+
+
+def test_network_sees_every_byte():
+    net = language_id.fit([b"abab" * 99, b"cdcd" * 99], ["x", "y"])
+    codes = language_id.windows_of(bytes(range(97, 123)) * 30)
+    slow = np.array([[max(sum(taps[k][codes[w, t + k]][f] for k in range(len(taps))) for t in range(language_id.WINDOW - len(taps) + 1)) for taps in net.taps for f in range(3)] for w in range(len(codes))])
+    fast = net.responses(codes) - net.bias
+    assert np.allclose(slow, np.concatenate([fast[:, k * language_id.FILTERS : k * language_id.FILTERS + 3] for k in range(3)], 1), atol=1e-4)
+    assert sum(int((w != language_id.PAD).sum()) for w in codes) == 26 * 30
+
+
+# --- 9. licences
+
+
+def test_licenses(spark, docs):
+    r = random.Random(8)
+    bits = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "CC BY", "General-Public.License", "x", "Released under the MIT License.", "the Apache License, Version 2.0"]
+    rows = [(k, " ".join(r.choice(bits) for _ in range(r.randint(0, 15)))) for k in range(300)] + [(900, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for i, n, places, base, labels, score in collected(license_scan.scan_licenses(table), "id", "n_words", "places", "base_labels", "labels", "score"):
+        w = alnum(dict(rows)[i])
+        want = sorted((k, phrase) for phrase, _ in license_scan.BASE for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split())
+        assert n == len(w) and [(p["word"], p["phrase"]) for p in places] == want
+        assert base == sorted({dict(license_scan.BASE)[p] for _, p in want}) and set(base) <= set(labels)
+        assert 0 <= score <= 1 and (score > 0) == bool(labels)
+    notice = spark.createDataFrame([(1, "Text before. Released under the MIT License."), (2, "we licensed under stars"), (3, "Licensed under the Apache License, Version 2.0.")], "doc_id bigint, text string")
+    assert dict(collected(license_scan.scan_licenses(notice), "id", "labels")) == {1: ["mit"], 2: [], 3: ["apache-2.0"]}
+    assert license_scan.scan_licenses(docs).count() == docs.count()
+    assert license_scan.scan_licenses(empty(docs)).count() == 0
+
+
+# --- 10. lines
+
+
+def plain_line(line):
+    return re.sub(r"[^\w\n]+|_", " ", line.lower()).strip()
+
+
+def line_simhash(words):
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_dedup(spark, docs):
+    r = random.Random(9)
+    base = [[r.choice(WORDS) + str(r.randrange(40)) for _ in range(r.choice((3, 6, 20, 90, 300)))] for _ in range(12)]
+    rows = []
+    for k in range(60):
+        lines = []
+        for _ in range(r.randint(1, 5)):
+            w = list(r.choice(base))
+            if r.random() < 0.5:
+                w[r.randrange(len(w))] = "changed" + str(r.randrange(3))
+            lines.append((" " if r.random() < 0.5 else ", ").join(w))
+        rows.append((k, "\n".join(lines)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = [(i, n, plain_line(line).split()) for i, t in rows for n, line in enumerate(t.split("\n")) if len(plain_line(line).split()) >= 5]
+    distinct = sorted({tuple(w) for _, _, w in seen})
+    sims = {w: line_simhash(w) for w in distinct}
+
+    def near(a, b):
+        return len(a) >= 8 and len(b) >= 8 and (sims[a] ^ sims[b]).bit_count() <= 2 and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+
+    group = dict(zip(distinct, plain_components(distinct, near)))
+    first = {}
+    for i, n, w in seen:
+        first.setdefault(group[tuple(w)], (i, n))
+    lost = {(i, n) for i, n, w in seen if first[group[tuple(w)]] != (i, n)}
+    assert len(set(group.values())) < len(distinct), "the fixture has near lines"
+    for i, text, n, dropped in collected(line_dedup.deduplicate_lines(table), "doc_id", "text", "n_lines", "n_dropped"):
+        lines = dict(rows)[i].split("\n")
+        assert text == "\n".join(x for k, x in enumerate(lines) if (i, k) not in lost)
+        assert (n, dropped) == (len(lines), sum((i, k) in lost for k in range(len(lines))))
+    left = line_dedup.keep_new_lines(docs)
+    assert left.columns == docs.columns
+    kept = collected(left, "doc_id", "text", "n_chars", "n_words")
+    assert (0, None) in {(i, t) for i, t, _, _ in kept} and (1, "") in {(i, t) for i, t, _, _ in kept}
+    assert all(n == len(t) for _, t, n, _ in kept if t is not None) and {w for *_, w in kept} == {"x"}
+    assert line_dedup.deduplicate_lines(empty(docs)).count() == 0
+
+
+@pytest.mark.parametrize("n", [8, 127, 128, 1000, 40_000])
+def test_line_simhash_of_any_length(spark, n):
+    words = [f"w{k * k % 97}x{n}" for k in range(n)]
+    lines = spark.createDataFrame([(1, 1, 0, " ".join(words))], "id bigint, text_key bigint, line_no int, line string")
+    assert line_dedup.line_hashes(lines).first()["sim"] & (2**64 - 1) == line_simhash(words)
+
+
+# --- registered queries and the pipeline
+
+
+def test_every_operator_is_registered():
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline(spark, tmp_path, docs):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    rows = [(k, sentence_lines(k), "en", "s", 1) for k in range(40)]
+    rows += [(100, sentence_lines(1), "en", "s", 1), (101, sentence_lines(2).replace("Alder", "Elder", 1), "en", "s", 1), (102, junk(4), "en", "s", 1), (103, sentence_lines(50) + "\n" + prose(9, 30), "en", "s", 1), (104, None, "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, prose(9, 30))], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, folder)
+    found = {r["doc_id"]: r for r in out.collect()}
+    assert set(found) == set(range(40)) or set(found) == set(range(40)) | {101}
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["input_ids"]) for r in found.values())
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_dedup", "decontaminate", "bpe"]
+
+
+def test_digests_of_a_query(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([(0, "token = abcdefgh1 é"), (1, None)], "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op5_secret_scan"](spark, folder).collect()}
+    assert got[0]["base_sha256"] == hashlib.sha256(b"assign:0:17").hexdigest() and got[0]["spans"] == "assign:0:17"
+    assert got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[1]["n_assign"] == 0

@@ -22,7 +22,7 @@ def confusion(df: DataFrame, label: str, p: str, threshold: float = 0.5) -> Data
     return out.withColumn("precision", zero(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", zero(F.col("tp"), F.col("tp") + F.col("fn"))).withColumn("f1", zero(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
-def brier_and_log_loss(df: DataFrame, label: str, p: str, weight: Column = F.lit(1.0) if False else None, clip: float = 1e-15) -> DataFrame:
+def brier_and_log_loss(df: DataFrame, label: str, p: str, weight: Column | None = None, clip: float = 1e-15) -> DataFrame:
     """One row of weighted means of the squared error and the log loss."""
     w = weight if weight is not None else F.lit(1.0)
     q = F.greatest(F.least(F.col(p), F.lit(1 - clip)), F.lit(clip))

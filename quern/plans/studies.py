@@ -8,13 +8,16 @@ from quern.functions.numeric import blend_logits, clopper_pearson_upper, normali
 from quern.operators import authors, metrics, relational, routing, sampling, segment, similarity
 from quern.session import table
 
-#: A pseudo-probability from the id's hash, until a model scores rows: the first eight hex digits over 16 ** 8, to four places.
-_P = F.round(F.conv(F.substring(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), 1, 8), 16, 10).cast("double") / float(16**8), 4)
+def _p():
+    """A pseudo-probability from the id's hash, until a model scores rows: the first eight hex digits over 16 ** 8, to four places."""
+    return F.round(F.conv(F.substring(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), 1, 8), 16, 10).cast("double") / float(16**8), 4)
+
+
 _P_SQL = "round(CAST(CAST('0x' || sha256(CAST(doc_id AS VARCHAR))[1:8] AS BIGINT) AS DOUBLE) / 4294967296.0, 4)"
 
 
 def _scored(spark, sf_dir):
-    return table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", _P.alias("p"))
+    return table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", _p().alias("p"))
 
 
 def stratified_hash_sample(spark, sf_dir):
@@ -105,7 +108,7 @@ def tail_bounds(spark, sf_dir):
 
 
 def route_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", _P.alias("p"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", _p().alias("p"))
     return docs.groupBy("source", routing.route(F.col("p"), 0.31, 0.96).alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -180,7 +183,7 @@ def segment_coverage_check(spark, sf_dir):
 
 
 def platform_pivot(spark, sf_dir):
-    routed = table(spark, sf_dir, "documents").select("lang", routing.route(_P, 0.31, 0.96).alias("a"))
+    routed = table(spark, sf_dir, "documents").select("lang", routing.route(_p(), 0.31, 0.96).alias("a"))
     return routed.groupBy("lang").pivot("a", list(routing.ACTIONS)).agg(F.count(F.lit(1))).na.fill(0)
 
 

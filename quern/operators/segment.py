@@ -44,12 +44,13 @@ class Unit:
 _STRONG = regex.compile(r"[。！？；!?;…]+|(?<=\p{L}{2})\.(?=\s|$)|\n+")
 _CLOSERS = "」』”’）)]】》\"'"
 _URL = regex.compile(r"https?://[^\s一-鿿]+")
+_WORDY = regex.compile(r"[\p{L}\p{N}]")
 _WEAK = regex.compile(r"[，,、：:]")
 
 
 def count_tokens(text: str) -> int:
     """The default counter: code points that are not white space."""
-    return sum(not c.isspace() for c in text)
+    return len("".join(text.split()))
 
 
 def build_units(text: str, limit: int = Settings.unit_tokens, counter: Callable[[str], int] = count_tokens) -> list[Unit]:
@@ -67,11 +68,11 @@ def build_units(text: str, limit: int = Settings.unit_tokens, counter: Callable[
     edges = [0, *sorted({c for c in cuts if 0 < c < len(text)}), len(text)]
     spans: list[list[int]] = []
     for a, b in zip(edges[:-1], edges[1:]):
-        if spans and not regex.search(r"[\p{L}\p{N}]", text[a:b]):
+        if spans and not _WORDY.search(text[a:b]):
             spans[-1][1] = b
         else:
             spans.append([a, b])
-    if len(spans) > 1 and not regex.search(r"[\p{L}\p{N}]", text[spans[0][0] : spans[0][1]]):
+    if len(spans) > 1 and not _WORDY.search(text[spans[0][0] : spans[0][1]]):
         spans[1][0] = spans[0][0]
         spans.pop(0)
     return [Unit(a, b, counter(text[a:b])) for x in spans for a, b in _short(text, *x, limit, counter)]
@@ -269,7 +270,7 @@ def _merged(text: str, units: Sequence[Unit], cuts: dict[int, str], s: Settings)
         pieces = list(zip(edges[:-1], edges[1:]))
         for k, (a, b) in enumerate(pieces):
             body = text[units[a + 1].start : units[b].end]
-            small = not regex.search(r"[\p{L}\p{N}]", body) or (k in (0, len(pieces) - 1) and count_tokens(body) < s.fragment)
+            small = not _WORDY.search(body) or (k in (0, len(pieces) - 1) and count_tokens(body) < s.fragment)
             if not small:
                 continue
             for gap, other in ((b, pieces[k + 1] if k + 1 < len(pieces) else None), (a, pieces[k - 1] if k else None)):

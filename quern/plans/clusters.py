@@ -100,7 +100,9 @@ def candidate_pairs(spark, sf_dir):
 
 
 def near_pairs(spark, sf_dir):
-    return similarity.near_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", 0.8)
+    """Near pairs between the representatives of exact clusters."""
+    docs = similarity.representatives(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id", clusters.ascii_key(F.col("text")))
+    return similarity.near_pairs(docs, "doc_id", "text", 0.8)
 
 
 def near_components(spark, sf_dir):

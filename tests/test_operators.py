@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import numeric, text
-from quern.operators import authors, graph, lineage, metrics, models, relational, routing, sampling, segment, similarity
+from quern.operators import authors, clusters, graph, lineage, metrics, models, relational, routing, sampling, segment, similarity
 from quern.sources import files
 from quern.streaming import upsert
 
@@ -196,6 +196,17 @@ def test_near_pairs(spark):
     assert [(r.left_id, r.right_id) for r in got] == [(1, 2)] and got[0].similarity_ppm > 900_000
 
 
+def test_near_pairs_need_like_lengths_and_representatives(spark):
+    base = " ".join(f"word{k * 7919 % 1000} thing{k}" for k in range(60))
+    rows = [(1, base), (2, base.upper()), (3, base.replace("thing5 ", "stuff ")), (5, None), (6, "")]
+    kept = similarity.representatives(spark.createDataFrame(rows, "id bigint, t string"), "id", clusters.ascii_key(F.col("t")))
+    assert sorted(r.id for r in kept.collect()) == [1, 3, 5, 6]
+    assert [(r.left_id, r.right_id) for r in similarity.near_pairs(kept, "id", "t").collect()] == [(1, 3)]
+    long = spark.createDataFrame([(1, base), (4, "\n".join([base] * 3))], "id bigint, t string")
+    assert similarity.near_pairs(long, "id", "t").count() == 0
+    assert similarity.near_pairs(long, "id", "t", rules=similarity.Blocking(length_ratio_ppm=0)).count() == 1
+
+
 def test_units_and_curves():
     t = "第一句。第二句！」 https://x.example/a.b 三\n四"
     units = segment.build_units(t)

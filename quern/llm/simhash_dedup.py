@@ -178,7 +178,12 @@ def near_duplicates(
     rows = cut(fingerprints(docs, id_col, text_col, shingle_words))
     first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "text_key")).alias("first")
     same = rows.groupBy("fp").agg(first)
-    groups = connected_components(link_fingerprints(same.select("fp"), radius, tree_nodes))
+    return with_keepers(rows, same, link_fingerprints(same.select("fp"), radius, tree_nodes))
+
+
+def with_keepers(rows: DataFrame, same: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (id, text_key, fp) with component and keeper; ``same`` has the first row of each fp, ``links`` (src, dst) join fps."""
+    groups = connected_components(links)
     named = same.join(groups, same.fp == groups.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     named = cut(named)
     least = named.groupBy("root").agg(F.min("first").alias("least"))
@@ -191,7 +196,12 @@ def near_duplicates(
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without those of which the group keeps another. A repeated row (same id and text) is the same document."""
+    return only_keepers(docs, near_duplicates(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def only_keepers(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents whose row in ``found`` is a keeper."""
     key = fresh(docs, "text_key")
-    kept = near_duplicates(docs, id_col, text_col, **options).where("keeper").select(F.col("id").alias("__kept_id"), F.col("text_key").alias("__kept_key")).distinct()
+    kept = found.where("keeper").select(F.col("id").alias("__kept_id"), F.col("text_key").alias("__kept_key")).distinct()
     tagged = docs.withColumn(key, F.xxhash64(text_col))
     return tagged.join(kept, (tagged[key] == kept["__kept_key"]) & tagged[id_col].eqNullSafe(kept["__kept_id"]), "left_semi").select(*docs.columns)

@@ -297,6 +297,38 @@ def test_shard_trees_lose_no_link(spark, nodes):
     assert all((joined[a] == joined[b]) == (want[a] == want[b]) for a in range(len(values)) for b in range(a))
 
 
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+    return {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+
+
+def test_near_stage_groups_by_shingle_similarity(spark):
+    import corpus_pipeline
+
+    r, texts = random.Random(12), [None, "", "a b", "A  b", "a c"]
+    for k in range(25):
+        words = prose(500 + k, r.choice((20, 60, 100, 400))).split()
+        texts.append(" ".join(words))
+        for _ in range(4):
+            edited = list(words)
+            for at in r.sample(range(len(words)), r.choice((1, 1, max(1, len(words) // 60), len(words) // 20))):
+                edited[at] = "edited" + str(r.randrange(99))
+            texts.append(" ".join(edited))
+    passage = prose(999, 30)
+    texts += [f"{prose(700 + k, 20)} {passage}" for k in range(20)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [shingles(t) for t in texts]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    roots = plain_components(sets, near)
+    want = {min(k for k in range(len(texts)) if roots[k] == x) for x in set(roots)}
+    kept = {i for (i,) in collected(corpus_pipeline.near_duplicates(spark, table, ""), "doc_id")}
+    assert kept == want
+    assert len(want) < simhash_dedup.deduplicate(table).count(), "the fixture has pairs further apart than two bits"
+    words = prose(2, 100).split()
+    rows = [(100, " ".join(words)), (101, " ".join([*words[:50], "elder", *words[51:]]))]
+    assert collected(corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), ""), "doc_id") == [(100,)]
+
+
 # --- 7. quality rules
 
 

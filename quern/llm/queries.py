@@ -81,7 +81,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
     return left.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("bigint").alias("kept_chars"), _sha(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 

@@ -482,6 +482,19 @@ def test_line_dedup(spark, docs):
     assert line_dedup.deduplicate_lines(empty(docs)).count() == 0
 
 
+def test_short_and_unspaced_lines_are_compared(spark, tmp_path):
+    r, folder = random.Random(21), str(tmp_path)
+    long = prose(31, 20)
+    han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(600))
+    texts = [f"A heading\n{long}\n----", f"a  Heading!\n{long}\n----", f"Own heading\n{long}", han, han[:300] + "x" + han[301:], f"{long}\n{prose(32, 20)}", "A heading", "Fresh"]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    got = dict(collected(QUERIES["op10_line_dedup"](spark, folder), "doc_id", "n_dropped"))
+    assert got == {0: 0, 1: 2, 2: 1, 3: 0, 4: 1, 5: 1, 6: 1, 7: 0}
+    left = line_dedup.keep_new_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(i for (i,) in collected(left, "doc_id")) == [0, 3, 5, 7]
+
+
 @pytest.mark.parametrize("n", [8, 127, 128, 1000, 40_000])
 def test_line_simhash_of_any_length(spark, n):
     words = [f"w{k * k % 97}x{n}" for k in range(n)]

@@ -3,7 +3,8 @@
 Three kinds of spans are reported wherever they match (the base): assignments of a secret, access
 identifiers and long hexadecimal runs. Weak candidates alone mean little: bare access identifiers,
 bare secrets and endpoints. They are reported only where complementary parts (an identifier and
-a secret, a secret and an endpoint) lie within one scope, ``SCOPE`` code points of each other.
+a secret, a secret and an endpoint) lie within one scope, ``SCOPE`` code points of each other, or
+where a secret lies in the user-info or query part of an endpoint.
 
 All of it happens within a row, so nothing is shuffled and no group of rows can grow. Positions
 come from splitting a text by the pattern and adding up the lengths of pieces and matches. The
@@ -30,7 +31,7 @@ HEX = r"[0-9a-f]{32,}"
 #: Weak parts: kind, complementary role, pattern, least length.
 WEAK = (
     ("weak_identifier", "identifier", r"(?<![A-Za-z0-9_])(?=[A-Z0-9]{0,31}[0-9])[A-Z][A-Z0-9]{15,31}(?![A-Za-z0-9_])", 16),
-    ("weak_secret", "secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,127}[0-9])(?=[A-Za-z0-9+/_-]{0,127}[a-z])(?=[A-Za-z0-9+/_-]{0,127}[A-Z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_-])", 20),
+    ("weak_secret", "secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])", 20),
     ("weak_endpoint", "endpoint", r"(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}", 8),
 )
 KINDS = ("assign", "access", "hex", *(w[0] for w in WEAK))
@@ -77,11 +78,17 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     role = F.create_map(*[F.lit(x) for pair in _ROLE.items() for x in pair])
     reach = sum(math.ceil(scope / n) + 2 for n in _LEAST.values())
 
+    def inside(url: Column, secret: Column) -> Column:
+        """Whether a part lies in the user-info or the query of an endpoint."""
+        held = (url["kind"] == "weak_endpoint") & (secret["start"] >= url["start"]) & (secret["start"] < url["end"])
+        users = F.length(F.regexp_extract(url["match"], r"^[a-z]+://[^?#]*@", 0))
+        return held & ((secret["end"] - url["start"] <= users) | F.substring(url["match"], F.lit(1), secret["start"] - url["start"]).contains("?"))
+
     def linked(x: Column, i: Column) -> Column:
         near = F.slice("parts", F.greatest(i + 1 - reach, F.lit(1)), F.lit(2 * reach + 1))
         joins = lambda a, b: (a.isin("identifier", "endpoint") & (b == "secret")) | ((a == "secret") & b.isin("identifier", "endpoint"))
         apart = lambda y: F.greatest(y["start"] - x["end"], x["start"] - y["end"])
-        return (x["rank"] < 3) | F.exists(near, lambda y: joins(role[x["kind"]], role[y["kind"]]) & apart(y).between(0, scope))
+        return (x["rank"] < 3) | F.exists(near, lambda y: joins(role[x["kind"]], role[y["kind"]]) & (apart(y).between(0, scope) | inside(x, y) | inside(y, x)))
 
     weak = F.exists("parts", lambda x: x["rank"] >= 3)
     return found.select("id", "base", F.when(weak, F.filter("parts", linked)).otherwise(F.col("base")).alias("spans"))

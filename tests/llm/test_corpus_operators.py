@@ -236,6 +236,16 @@ def test_weak_parts_need_complements(spark):
     assert [found[k] for k in range(8)] == [[], [], [], ["weak_identifier", "weak_secret"], ["weak_secret", "weak_endpoint"], [], [], ["weak_identifier", "weak_secret"]]
 
 
+def test_secrets_in_endpoints_and_long_secrets(spark):
+    secret, long = "aB3dE" * 5, "aB3dE" * 60
+    texts = [f"postgres://app:{secret}@host/db", f"https://host/?key={secret}", f"https://host/{secret}", f"see https://host/x {long}", f"QWERTYUIOP123456 {long}==", long, "https://host/?key=plain"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {k: [(s["kind"], s["match"]) for s in spans if s["rank"] > 2] for k, spans in collected(secret_scan.scan_secrets(table), "id", "spans")}
+    assert [k for k in range(7) if found[k]] == [0, 1, 3, 4]
+    assert found[0] == [("weak_endpoint", texts[0]), ("weak_secret", secret)] and found[1] == [("weak_endpoint", texts[1]), ("weak_secret", secret)]
+    assert ("weak_secret", long) in found[3] and ("weak_secret", long + "==") in found[4]
+
+
 # --- 6. SimHash
 
 

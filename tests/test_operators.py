@@ -301,3 +301,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["cluster_key", "cluster_size", "representative", "cross_platform"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_top_k_of_many_queries_goes_in_blocks(spark):
+    r = random.Random(5)
+    items = spark.createDataFrame([(k, [r.uniform(-1, 1) for _ in range(4)]) for k in range(60)], "vec_id bigint, embedding array<double>")
+    rows = lambda **kw: sorted(map(tuple, similarity.cosine_top_k(items, items, "vec_id", "embedding", 3, **kw).collect()))
+    whole = rows()
+    assert len(whole) == 180 and rows(block=20) == whole

@@ -455,24 +455,26 @@ def edits(a, b):
 
 
 def test_line_dedup(spark, docs):
+    """Groups by edit similarity alone: every pair of the lines is compared."""
     r = random.Random(9)
-    base = [[r.choice(WORDS) + str(r.randrange(40)) for _ in range(r.choice((3, 6, 20, 90, 300)))] for _ in range(12)]
+    base = [[r.choice(WORDS) + str(r.randrange(40)) for _ in range(r.choice((3, 6, 12, 20, 90, 300)))] for _ in range(14)]
     rows = []
-    for k in range(60):
+    for k in range(80):
         lines = []
         for _ in range(r.randint(1, 5)):
             w = list(r.choice(base))
             if r.random() < 0.5:
                 w[r.randrange(len(w))] = "changed" + str(r.randrange(3))
+            if r.random() < 0.2:
+                del w[r.randrange(len(w))]
             lines.append((" " if r.random() < 0.5 else ", ").join(w))
         rows.append((k, "\n".join(lines)))
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
-    seen = [(i, n, plain_line(line).split()) for i, t in rows for n, line in enumerate(t.split("\n")) if len(plain_line(line).split()) >= 5]
+    seen = [(i, n, plain_line(line).split()) for i, t in rows for n, line in enumerate(t.split("\n"))]
     distinct = sorted({tuple(w) for _, _, w in seen})
-    sims = {w: line_simhash(w) for w in distinct}
 
     def near(a, b):
-        return len(a) >= 8 and len(b) >= 8 and (sims[a] ^ sims[b]).bit_count() <= 2 and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+        return min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) - 1e-9 and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
 
     group = dict(zip(distinct, plain_components(distinct, near)))
     first = {}
@@ -492,6 +494,36 @@ def test_line_dedup(spark, docs):
     assert line_dedup.deduplicate_lines(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("share, least", [(0.2, 0.9), (0.1, 0.95)])
+def test_line_recall_against_edit_similarity(spark, share, least):
+    """Pairs of lines that differ in all the words they may, scattered: as far apart as similar lines get."""
+    r, lines, pairs = random.Random(4), [], []
+    for k in range(1200):
+        n = r.choice((5, 6, 7, 8, 9, 10, 11, 14, 15, 19, 20, 22, 24, 25, 30, 40, 60, 100, 150))
+        a = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for at in sorted(r.sample(range(n), max(1, int(share * n))), reverse=True):
+            what = r.random()
+            b[at : at + 1] = [] if what < 0.15 else [b[at], f"new{r.randrange(10**6)}"] if what < 0.3 else [f"new{r.randrange(10**6)}"]
+        if edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+            pairs.append(len(lines))
+            lines += [" ".join(a), " ".join(b)]
+    table = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id bigint, text string")
+    dropped = dict(collected(line_dedup.deduplicate_lines(table), "doc_id", "n_dropped"))
+    found = [dropped[k] + dropped[k + 1] for k in pairs]
+    assert len(pairs) > 900 and set(found) <= {0, 1}
+    assert np.mean(found) >= least
+
+
+def test_hot_line_keys(spark):
+    """1,500 unlike lines with one window in common, near copies among them: the key is split, none of its exact or near copies lost."""
+    r = random.Random(6)
+    rows = [(k, " ".join([*(f"a{r.randrange(10**6)}" for _ in range(8)), "one", "very", "common", "window", *(f"b{r.randrange(10**6)}" for _ in range(8))])) for k in range(1500)]
+    rows += [(2000 + k, " ".join(["changed", *rows[k][1].split(" ")[1:]])) for k in range(200)] + [(3000 + k, rows[k][1].upper() + "!") for k in range(100)]
+    dropped = dict(collected(line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "n_dropped"))
+    assert {k for k, n in dropped.items() if n} == {2000 + k for k in range(200)} | {3000 + k for k in range(100)}
+
+
 def test_short_and_unspaced_lines_are_compared(spark, tmp_path):
     r, folder = random.Random(21), str(tmp_path)
     long = prose(31, 20)
@@ -508,8 +540,11 @@ def test_short_and_unspaced_lines_are_compared(spark, tmp_path):
 @pytest.mark.parametrize("n", [8, 127, 128, 1000, 40_000])
 def test_line_simhash_of_any_length(spark, n):
     words = [f"w{k * k % 97}x{n}" for k in range(n)]
-    lines = spark.createDataFrame([(1, 1, 0, " ".join(words))], "id bigint, text_key bigint, line_no int, line string")
-    assert line_dedup.line_hashes(lines).first()["sim"] & (2**64 - 1) == line_simhash(words)
+    lines = spark.createDataFrame([(1, n, " ".join(words))], "h bigint, n_words int, line string")
+    assert line_dedup.simhashes(lines).first()["sim"] & (2**64 - 1) == line_simhash(words)
+    seen = spark.createDataFrame([(1, " ".join(words))], "id bigint, text string")
+    rows = line_dedup.keyed(line_dedup.line_words(seen, "id", "text")).collect()
+    assert [x["line"] for x in rows if x["key"] is None] == [" ".join(words)]
 
 
 # --- registered queries and the pipeline

@@ -37,23 +37,38 @@ WEAK = (
 KINDS = ("assign", "access", "hex", *(w[0] for w in WEAK))
 _ROLE = {"assign": "secret", "access": "identifier", "hex": "secret"} | {w[0]: w[1] for w in WEAK}
 _LEAST = {"assign": 14, "access": 16, "hex": 32} | {w[0]: w[3] for w in WEAK}
-#: Parts of all kinds that start or end within a scope of one part, on either side of it.
-NEIGHBOURS = sum(math.ceil(SCOPE / n) + 2 for n in _LEAST.values())
+BLOCK = 128  #: matches whose positions are added up in one array
+
+
+def _ranges(lengths: Column) -> Column:
+    """Starts and ends of the m parts of (p, m) lengths that follow each other.
+
+    Appending to an array copies it, so ranges are made for ``BLOCK`` lengths at a time and then moved by where their block
+    starts: the cost of a text is in proportion to its matches.
+    """
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def appended(a: Column, x: Column) -> Column:
+        span = F.struct((a["at"] + x["p"]).alias("start"), (a["at"] + x["p"] + x["m"]).alias("end"))
+        return F.struct((a["at"] + x["p"] + x["m"]).alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
+
+    one = lambda block: F.aggregate(block, F.struct(F.lit(0).alias("at"), none.alias("spans")), appended)
+    blocks = F.transform(F.sequence(F.lit(1), F.size(lengths), F.lit(BLOCK)), lambda low: one(F.slice(lengths, low, BLOCK)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("bases"))
+    bases = lambda found: F.aggregate(found, start, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["bases"], F.array(a["at"])).alias("bases")), lambda a: a["bases"])
+    moved = lambda x, base: F.transform(x["spans"], lambda s: F.struct((s["start"] + base).alias("start"), (s["end"] + base).alias("end")))
+    many = F.transform(F.array(blocks), lambda found: F.flatten(F.zip_with(found, bases(found), moved)))[0]  # an array of one binds the blocks
+    return F.when(F.size(lengths) <= BLOCK, one(lengths)["spans"]).otherwise(many)
 
 
 def _spans(text: Column, pattern: str, kind: str) -> Column:
     """The leftmost non-overlapping matches as sorted structs (start, rank of kind, kind, end, match)."""
-    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    pieces, matches, rank = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), KINDS.index(kind)
     lengths = F.zip_with(F.transform(pieces, F.length), F.transform(matches, F.length), lambda p, m: F.struct(p.alias("p"), F.coalesce(m, F.lit(0)).alias("m")))
-    start = F.array().cast("array<struct<start:int,end:int>>")
-    grown = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), start.alias("spans")),
-        lambda a, x: F.struct((a["at"] + x["p"] + x["m"]).alias("at"), F.concat(a["spans"], F.array(F.struct((a["at"] + x["p"]).alias("start"), (a["at"] + x["p"] + x["m"]).alias("end")))).alias("spans")),
-        lambda a: F.slice(a["spans"], 1, F.size(matches)),
-    )
-    rank = KINDS.index(kind)
-    return F.zip_with(grown, matches, lambda s, m: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), m.alias("match")))
+    named = lambda s, m: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), m.alias("match"))
+    # arrays of one bind what is used more than once; the piece after the last match has none
+    both = F.transform(F.array(F.struct(lengths.alias("lengths"), matches.alias("matches"))), lambda x: F.zip_with(F.slice(_ranges(x["lengths"]), F.lit(1), F.size(x["matches"])), x["matches"], named))
+    return both[0]
 
 
 def _found(text: Column, pattern: str, kind: str, hint: str | None = None) -> Column:

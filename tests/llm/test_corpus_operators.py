@@ -227,6 +227,39 @@ def test_secret_spans(spark):
         assert {(s["start"], s["kind"]) for s in base} <= {(s["start"], s["kind"]) for s in spans}
 
 
+def test_spans_of_very_long_texts_tables_and_repeats(spark, docs):
+    """Base spans against Python's own, from texts with none to tens of thousands of matches; clashing columns and repeated rows."""
+    r = random.Random(8)
+    one = lambda: r.choice((f"{r.getrandbits(140):040x}", "AKIA" + "".join(r.choices("ABCDEF0123", k=14)), f"token = {r.getrandbits(60):x}", "é word", "日本"))
+    texts = [" ".join(one() for _ in range(n)) for n in (0, 1, 100, 127, 128, 129, 700, 30_000)]
+    rows = [(k, t, "x", "y") for k, t in enumerate(texts)] + [(4, texts[4], "x", "y")]
+    found = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string, spans string, parts string"))
+    patterns = {k: re.compile(p) for k, p in (("assign", secret_scan.ASSIGN), ("access", secret_scan.ACCESS), ("hex", secret_scan.HEX))}
+    got = collected(found, "id", "base")
+    assert sorted(i for i, _ in got) == sorted(k for k, *_ in rows)
+    for k, base in got:
+        plain = [(m.start(), list(patterns).index(kind), m.end()) for kind, p in patterns.items() for m in p.finditer(texts[k]) if kind != "assign" or len(m[2]) >= 8]
+        assert [(x["start"], x["rank"], x["end"]) for x in base] == sorted(plain)
+    assert secret_scan.scan_secrets(empty(docs)).count() == 0 and secret_scan.scan_secrets(docs).count() == docs.count()
+
+
+def test_links_equal_plain_ones(spark):
+    """Weak parts of random texts are linked as comparing every pair of a text's parts would link them."""
+    r, texts = random.Random(3), []
+    strong = lambda: "".join(r.choices("abcdefXYZ0123", k=26)) + "aZ9"
+    for _ in range(60):
+        parts = [r.choice((lambda: "Q7" + "".join(r.choices("ABCDEFGH1234", k=16)), strong, lambda: f"https://host{r.randrange(99)}.example/path", lambda: f"{r.getrandbits(140):040x}"))() for _ in range(r.randint(1, 6))]
+        texts.append("".join(p + " " + "- " * r.choice((1, 20, 150, 199, 205, 300)) for p in parts))
+    role = {"assign": "secret", "access": "identifier", "hex": "secret", "weak_identifier": "identifier", "weak_secret": "secret", "weak_endpoint": "endpoint"}
+    patterns = {"assign": secret_scan.ASSIGN, "access": secret_scan.ACCESS, "hex": secret_scan.HEX} | {w[0]: w[2] for w in secret_scan.WEAK}
+    for k, spans in collected(secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")), "id", "spans"):
+        parts = [(m.start(), m.end(), kind) for kind, p in patterns.items() for m in re.finditer(p, texts[k]) if kind != "assign" or len(m[2]) >= 8]
+        pairs = {("identifier", "secret"), ("endpoint", "secret")}
+        near = lambda x, y: (tuple(sorted((role[x[2]], role[y[2]]))) in pairs) and 0 <= max(y[0] - x[1], x[0] - y[1]) <= secret_scan.SCOPE
+        plain = {x for x in parts if not x[2].startswith("weak") or any(near(x, y) for y in parts)}
+        assert {(x["start"], x["end"], x["kind"]) for x in spans} == plain
+
+
 def test_weak_parts_need_complements(spark):
     key, secret, url = "QWERTYUIOP123456", "aB3" * 8, "https://db.example.org/x"
     far = " word" * 200

@@ -16,9 +16,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of a URL's end that belong to the sentence around it (fixed values).
-URL_TAIL = ".,;:!?)]}>'\"、。，；：！？）】》」』"
-_TAIL = "[" + "".join("\\" + c if c in "]\\[^-" else c for c in URL_TAIL) + "]*"
+#: What ends an address, what stays behind it, and what a name is made of.
+_IN_URL = r"[^\s<>\[\]{}（）()，。！？；：、“”‘’,!;@]"
+_AFTER_URL = "[.,!;:]"
+_IN_NAME = r"[\p{L}\p{N}_·.-]"
 
 
 @dataclass(frozen=True)
@@ -38,24 +39,25 @@ def unify_newlines(x: Column) -> Column:
 
 
 def replace_urls(x: Column, token: str = "[URL]") -> Column:
-    """http(s) and www addresses to a token; sentence punctuation at their end stays."""
-    return F.regexp_replace(x, rf"(?i)(?:https?://|www\.)[^\s<>　-〿＀-￯一-鿿]+?({_TAIL})(?=[\s<>　-〿＀-￯一-鿿]|$)", f"{token}$1")
+    """http(s) and www addresses, up to white space, a bracket or a mark between clauses, to a token; marks at their end stay."""
+    return F.regexp_replace(x, rf"(?iU)(?:https?://|www\.)(?={_IN_URL}){_IN_URL}*?({_AFTER_URL}*)(?!{_IN_URL})", f"{token}$1")
 
 
 def replace_topics(x: Column, tokens: Tokens = Tokens()) -> Column:
-    """``#name#`` of 1 to 100 characters on one line."""
-    return F.regexp_replace(x, r"#\s*([^#\n]{1,100}?)\s*#", f"{tokens.topic_open}$1{tokens.topic_close}")
+    """``#name#`` of 1 to 100 characters on one line, trimmed."""
+    blank = r"[\s&&[^\n]]*"
+    return F.regexp_replace(x, rf"(?U)#(?=[^#\n]{{1,100}}#){blank}([^#\n]*?){blank}#", f"{tokens.topic_open}$1{tokens.topic_close}")
 
 
 def replace_mentions(x: Column, token: str = "[MENTION]") -> Column:
-    """``@name``, unless it goes on from a letter, a digit or a dot (as in a mail address)."""
-    return F.regexp_replace(x, r"(?<![\p{L}\p{N}._%+-])@[\p{L}\p{N}_\-·.]{0,63}[\p{L}\p{N}_]", token)
+    """``@name`` of any length, unless it goes on from a letter, a digit or a mark of mail addresses; dots and hyphens at its end stay."""
+    return F.regexp_replace(x, rf"(?<![\p{{L}}\p{{N}}_.+-])@(?={_IN_NAME}){_IN_NAME}*?([.-]*)(?!{_IN_NAME})", f"{token}$1")
 
 
 def strip_controls(x: Column) -> Column:
     """Format and control characters and variation selectors go; other white space becomes a blank."""
-    bare = F.regexp_replace(x, r"[\p{Cf}\x{FE0E}\x{FE0F}]|[\p{Cc}&&[^\n\t\x0B\f\r]]", "")
-    return F.regexp_replace(bare, r"(?U)[\s&&[^\n]]", " ")
+    bare = F.regexp_replace(x, r"[\p{Cf}\x{FE0E}\x{FE0F}]|[\p{Cc}&&[^\t-\r\x1C-\x1F\x85]]", "")
+    return F.regexp_replace(bare, r"(?U)[\s\x1C-\x1F&&[^\n]]", " ")
 
 
 def collapse_blanks(x: Column) -> Column:
@@ -77,8 +79,14 @@ def nfkc(x: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def casefold(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else s.casefold())
+def _folded(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
+
+
+def folded(x: Column) -> Column:
+    """NFKC and case-folded; a text of ASCII alone stays in the JVM."""
+    foreign = F.octet_length(x) > F.length(x)
+    return F.when(foreign, _folded(F.when(foreign, x))).otherwise(F.lower(x))
 
 
 _PICTOGRAPH = regex.compile(r"\p{Extended_Pictographic}|\p{Regional_Indicator}|\u20E3")
@@ -106,27 +114,58 @@ def normalise(x: Column, tokens: Tokens = Tokens()) -> Column:
 
 
 def exact_key(title: Column, body: Column) -> Column:
-    """Hash of both fields, NFKC and case-folded, without white space; no token replaces anything here."""
-    field = lambda x: F.regexp_replace(casefold(nfkc(F.coalesce(x, F.lit("")))), r"(?U)\s+", "")
+    """Hash of both fields, NFKC and case-folded, without control characters and white space; no token replaces anything here."""
+    field = lambda x: F.regexp_replace(strip_controls(folded(unify_newlines(F.coalesce(x, F.lit(""))))), r"(?U)\s+", "")
     return F.sha2(F.concat(F.lit("T:"), field(title), F.lit("\x1fB:"), field(body)).cast("binary"), 256)
 
 
-PLACEHOLDER = r"(?i)^(?:null|none|n/?a|nan|undefined|deleted|removed|\[deleted\]|\[removed\])$"
+#: Statuses of a source and texts of a whole post that say there is none.
+INVALID_STATUSES = ("error", "failed", "login_required", "deleted", "unavailable")
+UNCERTAIN_STATUSES = ("partial", "unknown")
+NO_POST = (
+    ("login_wall", "(?:请先登录|登录后查看|登录即可查看)"),
+    ("capture_error", "(?:抓取失败|加载失败|网络错误|页面出错)"),
+    ("content_unavailable", "(?:内容不存在|内容已删除|帖子不存在|该内容无法查看)"),
+    ("placeholder_text", "(?:暂无内容|暂无正文|无正文|加载中[.。…]*)"),
+)
+ONLY_TOKENS = r"(?:\[(?:URL|MENTION|EMOJI)\]|\s)+"
 
 
-def structure_status(title: Column, body: Column, source_status: Column, bad: tuple[str, ...] = ("deleted", "blocked", "private"), unsure: tuple[str, ...] = ("unknown",)) -> Column:
-    """empty, bad_status, placeholder, uncertain, replacement_only or usable, the first that holds."""
-    t, b = F.trim(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(body, F.lit("")))
-    both = F.trim(F.concat_ws("\n", F.when(t != "", t), F.when(b != "", b)))
-    bare = F.regexp_replace(both, r"\[/?(?:URL|TOPIC|MENTION|EMOJI)\]|\s", "")
-    return (
-        F.when(both == "", "empty")
-        .when(source_status.isin(*bad), "bad_status")
-        .when(both.rlike(PLACEHOLDER), "placeholder")
-        .when(source_status.isin(*unsure), "uncertain")
-        .when(bare == "", "replacement_only")
-        .otherwise("usable")
-    )
+def structure_status(title: Column, body: Column, source_status: Column) -> Column:
+    """struct(status, reason) of a normalised title and body: invalid, uncertain or usable, by the first reason that holds.
+
+    Neither a short text nor a missing title is a reason.
+    """
+    t, b = F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))
+    both = F.concat_ws("\n", F.when(t != "", t), F.when(b != "", b))
+    known = F.lower(F.trim(F.coalesce(source_status, F.lit(""))))
+    result = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
+    out = F.when(both == "", result("invalid", "empty_title_and_body")).when(known.isin(*INVALID_STATUSES), result("invalid", "invalid_source_status"))
+    for reason, pattern in NO_POST:
+        out = out.when(both.rlike(f"(?i)\\A{pattern}\\z"), result("invalid", reason))
+    out = out.when(known.isin(*UNCERTAIN_STATUSES), result("uncertain", "uncertain_source_status"))
+    return out.when(both.rlike(f"(?U)\\A{ONLY_TOKENS}\\z"), result("uncertain", "replacement_tokens_only")).otherwise(result("usable", "structure_usable"))
+
+
+def normalise_post(title: Column, body: Column, source_status: Column, tokens: Tokens = Tokens()) -> Column:
+    """One struct for a post: normalised title and body, the model's text and its hash, the exact key (only where usable), status, reason and lengths.
+
+    A rich-text field that can't be projected makes the post invalid with that field's reason.
+    """
+    plain_t, plain_b = project_rich_text(F.coalesce(title, F.lit(""))), project_rich_text(F.coalesce(body, F.lit("")))
+    t, b = (F.coalesce(normalise(x["text"], tokens), F.lit("")) for x in (plain_t, plain_b))
+    broken = F.coalesce(plain_t["reason"], plain_b["reason"])
+    gate = F.when(broken.isNotNull(), F.struct(F.lit("invalid").alias("status"), broken.alias("reason"))).otherwise(structure_status(t, b, source_status))
+    model = F.concat(F.lit("[TITLE]\n"), t, F.lit("\n[BODY]\n"), b)
+    return F.struct(
+        t.alias("normalized_title"), b.alias("normalized_body"), model.alias("model_text"), F.sha2(model.cast("binary"), 256).alias("normalized_sha256"),
+        F.when(gate["status"] == "usable", exact_key(plain_t["text"], plain_b["text"])).alias("exact_canonical_sha256"), gate["status"].alias("structure_status"),
+        gate["reason"].alias("structure_reason_code"), F.length(t).cast("bigint").alias("title_length"), F.length(b).cast("bigint").alias("body_length"),
+    )
+
+
+#: What may be embedded in rich text and is left out.
+EMBEDS = ("article-card", "cut-off", "image", "native-image", "video-card")
 
 
 def project_rich_text(body: Column) -> Column:
@@ -145,7 +184,7 @@ def project_rich_text(body: Column) -> Column:
     text = F.array_join(F.transform(F.filter(ops, lambda o: kind(o) == "STRING"), insert), "")
     embeds = F.filter(ops, lambda o: kind(o).startswith("OBJECT"))
     names = lambda o: F.map_keys(F.try_variant_get(o, "$.insert", "map<string,variant>"))
-    strange = F.exists(embeds, lambda o: F.size(F.array_except(names(o), F.array(F.lit("image"), F.lit("video"), F.lit("emoji"), F.lit("mention"), F.lit("topic")))) > 0)
+    strange = F.exists(embeds, lambda o: F.size(F.array_except(names(o), F.array(*map(F.lit, EMBEDS)))) > 0)
     extra = F.exists(ops, lambda o: F.size(F.array_except(keys(o), F.array(F.lit("insert"), F.lit("attributes")))) > 0)
     reason = (
         F.when(json.isNull(), "invalid_json").when(ops.isNull(), "missing_ops").when(F.coalesce(extra, F.lit(True)), "unknown_key").when(F.coalesce(strange, F.lit(True)), "unknown_embed").when(F.trim(text) == "", "no_text")

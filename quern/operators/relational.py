@@ -134,7 +134,9 @@ def nearest_controls(cases: DataFrame, pool: DataFrame, strata: Sequence[str], b
         df = df.withColumn("__same", F.min(F.when(F.col("is_case") == 0, F.col(key))).over(Window.partitionBy(*by, length)))
         control = F.when(F.col("is_case") == 0, F.struct(F.col(length).alias("l"), F.col("__same").alias("k")))
         before = F.last(control, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        behind = F.first(control, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+        # the next control is the last one of the reversed order: a frame to the end would be read anew for each row
+        reverse = Window.partitionBy(*by).orderBy(F.col(length).desc(), F.col("is_case").desc(), F.col(key).desc())
+        behind = F.last(control, ignorenulls=True).over(reverse.rowsBetween(Window.unboundedPreceding, -1))
         df = df.withColumns({"__b": before, "__a": behind})
         far = lambda x: F.abs(F.col(length) - x["l"])
         least = F.least(F.when(F.col("__same").isNotNull(), F.struct(F.lit(0).alias("d"), F.col("__same").alias("k"))), F.when(F.col("__b").isNotNull(), F.struct(far(F.col("__b")).cast("int").alias("d"), F.col("__b.k").alias("k"))), F.when(F.col("__a").isNotNull(), F.struct(far(F.col("__a")).cast("int").alias("d"), F.col("__a.k").alias("k"))))

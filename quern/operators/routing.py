@@ -23,16 +23,16 @@ def reroute(df: DataFrame, p: str, keep: float, exclude: float, text: str, diges
     return df.withColumn("action", route(F.col(p), keep, exclude)).withColumn("intact", F.sha2(F.col(text).cast("binary"), 256).eqNullSafe(F.col(digest)))
 
 
-def joint_stratum(left: Column, right: Column) -> Column:
-    """Six exclusive strata of two scores (first that holds)."""
-    both = lambda c: c(left) & c(right)
+def joint_stratum(sparse: Column, dense: Column) -> Column:
+    """Six exclusive strata of two models' scores, the first that holds (names and thresholds are fixed values)."""
+    high, upper = (lambda x: x >= 0.90), (lambda x: x >= 0.50)
     return (
-        F.when(both(lambda x: x <= 0.2), "both_low")
-        .when(both(lambda x: x >= 0.8), "both_high")
-        .when(F.abs(left - right) >= 0.5, "strong_disagreement")
-        .when(both(lambda x: x.between(0.4, 0.6)), "both_uncertain")
-        .when((left < 0.5) != (right < 0.5), "mild_disagreement")
-        .otherwise("same_side")
+        F.when(high(sparse) & high(dense), "both_p_ge_0_90")
+        .when(high(dense), "qwen_only_p_ge_0_90")
+        .when(high(sparse), "sparse_only_p_ge_0_90")
+        .when(upper(sparse) != upper(dense), "action_disagreement_at_0_50")
+        .when(upper(sparse), "both_p_ge_0_50_remainder")
+        .otherwise("both_p_lt_0_50")
     )
 
 

@@ -36,23 +36,20 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, seed: str, n: int)
 
 
 def redistributed(population: dict[str, int], targets: dict[str, int]) -> dict[str, int]:
-    """Allocations per stratum: small ones whole, their shortage spread over the rest in proportion to what is left, by largest remainders."""
-    taken = {s: min(population.get(s, 0), t) for s, t in targets.items()}
-    short = sum(targets.values()) - sum(taken.values())
-    while short > 0:
-        room = {s: population.get(s, 0) - n for s, n in taken.items() if population.get(s, 0) > n}
-        if not room:
-            break
-        total = sum(room.values())
-        share = {s: min(r, short * r / total) for s, r in room.items()}
-        add = {s: int(x) for s, x in share.items()}
-        rest = min(short, total) - sum(add.values())
-        for s in sorted(share, key=lambda s: (-(share[s] - add[s]), s))[:rest]:
-            add[s] += 1
-        for s, x in add.items():
-            taken[s] += x
-        short -= sum(add.values())
-    return taken
+    """Allocations per stratum: small strata are taken whole, and what they lack is spread over the rest in proportion to their room, by largest remainders.
+
+    No share exceeds its stratum's room, so one pass fills all targets. Raises if the strata differ or hold too few.
+    """
+    if set(population) != set(targets):
+        raise ValueError("population and targets name different strata")
+    room = {s: max(0, population[s] - t) for s, t in targets.items()}
+    lack, total = sum(max(0, t - population[s]) for s, t in targets.items()), sum(room.values())
+    if lack > total:
+        raise ValueError(f"the strata hold {total} rows to spare, {lack} are lacking")
+    whole = {s: lack * r // max(1, total) for s, r in room.items()}
+    by_remainder = sorted(targets, key=lambda s: -(lack * room[s] % max(1, total)))  # stable: equal remainders keep the targets' order
+    extra = set(by_remainder[: lack - sum(whole.values())])
+    return {s: min(t, population[s]) + whole[s] + (s in extra) for s, t in targets.items()}
 
 
 def global_rank(df: DataFrame, draw: Column, key: str, rank: str = "queue_rank") -> DataFrame:

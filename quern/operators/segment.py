@@ -79,39 +79,42 @@ def build_units(text: str, limit: int = Settings.unit_tokens, counter: Callable[
 
 
 def _short(text: str, a: int, b: int, limit: int, counter: Callable[[str], int]) -> Iterator[tuple[int, int]]:
-    """Pieces of at most ``limit`` tokens: at the last weak mark that fits, else at the last grapheme."""
-    while counter(text[a:b]) > limit:
-        fits, used, mark = a, 0, None
-        for g in regex.finditer(r"\X", text, pos=a, endpos=b):
-            used += counter(g.group())
-            if used > limit and fits > a:
-                break
-            fits = g.end()
-            if _WEAK.search(g.group()):
-                mark = fits
-        cut = mark or fits
-        if cut >= b:
-            break
-        yield a, cut
-        a = cut
+    """Pieces of at most ``limit`` tokens: at the last weak mark that fits, else at the last grapheme. Each grapheme is counted once."""
+    if counter(text[a:b]) <= limit:
+        yield a, b
+        return
+    used, mark = 0, (a, 0)  # where the last weak mark of this piece ends, and the tokens up to there
+    for g in regex.finditer(r"\X", text, pos=a, endpos=b):
+        tokens = counter(g.group())
+        while used + tokens > limit and g.start() > a:
+            cut, before = mark if mark[0] > a else (g.start(), used)
+            yield a, cut
+            a, used, mark = cut, used - before, (cut, 0)
+        used += tokens
+        if _WEAK.search(g.group()):
+            mark = g.end(), used
     yield a, b
 
 
 def cohesion(tokens: Sequence[int], vectors: np.ndarray, window: int) -> np.ndarray:
-    """Cosine of the mean vectors of up to ``window`` tokens on both sides of each gap, from prefix sums."""
+    """Cosine of the mean vectors on both sides of each gap, over the units that ``window`` tokens reach, wholly or in part.
+
+    A vector or a mean without a direction raises: any cosine in its place would be a change of topic that is not there.
+    """
     v = np.asarray(vectors, float)
-    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-    ends = np.cumsum(tokens)
-    starts = ends - tokens
-    sums = np.vstack([np.zeros(v.shape[1]), np.cumsum(v, axis=0)])
-    out = np.zeros(max(0, len(v) - 1))
-    for g in range(len(out)):
-        low = int(np.searchsorted(starts, ends[g] - window, side="left"))
-        high = int(np.searchsorted(ends, ends[g] + window, side="right"))
-        left, right = sums[g + 1] - sums[min(low, g)], sums[max(high, g + 2)] - sums[g + 1]
-        scale = np.linalg.norm(left) * np.linalg.norm(right)
-        out[g] = left @ right / scale if scale > 0 else 0.0
-    return out
+    norms = np.linalg.norm(v, axis=1) if v.size else np.zeros(len(v))
+    if not np.isfinite(norms).all() or (norms <= 1e-12).any():
+        raise ValueError("a unit's vector has no direction")
+    edges = np.concatenate(([0], np.cumsum(tokens)))
+    sums = np.vstack([np.zeros(v.shape[1]), np.cumsum(v / norms[:, None], axis=0)]) if len(v) else np.zeros((1, 1))
+    middle = np.arange(1, len(v))
+    low = np.clip(np.searchsorted(edges, edges[middle] - window, side="right") - 1, 0, middle - 1)
+    high = np.clip(np.searchsorted(edges, edges[middle] + window, side="left"), middle + 1, len(v))
+    left, right = (sums[middle] - sums[low]) / (middle - low)[:, None], (sums[high] - sums[middle]) / (high - middle)[:, None]
+    scales = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
+    if any((x <= 1e-12).any() for x in scales):
+        raise ValueError("a window's mean vector has no direction")
+    return np.clip((left * right).sum(axis=1) / (scales[0] * scales[1]), -1.0, 1.0)
 
 
 def depths(c: Sequence[float], epsilon: float = 1e-9) -> np.ndarray:
@@ -129,17 +132,18 @@ def depths(c: Sequence[float], epsilon: float = 1e-9) -> np.ndarray:
 
 
 def valleys(c: Sequence[float], epsilon: float = 1e-9) -> list[int]:
-    """Midpoints of the plateaus that are lower than what is on both sides; an end counts as a side."""
-    out, k, n = [], 0, len(c)
-    while k < n:
-        end = k
-        while end + 1 < n and abs(c[end + 1] - c[k]) <= epsilon:
-            end += 1
-        left, right = k == 0 or c[k - 1] > c[k] + epsilon, end == n - 1 or c[end + 1] > c[k] + epsilon
-        if left and right and n > 1:
-            out.append((k + end) // 2)
-        k = end + 1
-    return out
+    """Midpoints of the plateaus whose least value lies below what is on both sides; an end counts as a side.
+
+    A plateau's values differ by at most ``epsilon`` in all, so a slow drift is not one plateau.
+    """
+    values, plateaus, first = list(c), [], 0
+    for k in range(1, len(values) + 1):
+        held = values[first : k + 1]
+        if k == len(values) or max(held) - min(held) > epsilon:
+            plateaus.append((first, k - 1, min(values[first:k])))
+            first = k
+    above = lambda k, least: not 0 <= k < len(values) or values[k] > least + epsilon
+    return [(a + b) // 2 for a, b, least in plateaus if above(a - 1, least) and above(b + 1, least)]
 
 
 def ranked(gaps: Sequence[int], c: Sequence[float], d: Sequence[float], epsilon: float = 1e-9, later: bool = False) -> list[int]:

@@ -18,7 +18,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_clusters(spark, sf_dir):
-    return clusters.exact_clusters(_docs(spark, sf_dir), clusters.ascii_key(F.col("text")), "doc_id", "source")
+    """Clusters by the exact key of posts without a title."""
+    return clusters.exact_clusters(_docs(spark, sf_dir), T.exact_key(F.lit(None).cast("string"), F.col("text")), "doc_id", "source")
 
 
 def cluster_members_ranked(spark, sf_dir):
@@ -55,15 +56,24 @@ def topic_mention_counts(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", count("#([^#\n]{1,100})#").alias("topics"), count("@[A-Za-z0-9_]+").alias("mentions"), count("[!?]").alias("marks"))
 
 
+def _gate():
+    """The gate of a post without a title; a source stands in for the status that documents don't have."""
+    status = F.when(F.col("source") == "src1", "deleted").when(F.col("source") == "src2", "partial").otherwise("success")
+    return T.structure_status(F.lit(None).cast("string"), F.col("text"), status)
+
+
 def structure_gate(spark, sf_dir):
-    status = F.when(F.trim("text") == "", "empty").when(F.col("source").isin("src1", "src2"), "bad_status").when(F.col("text").rlike(T.PLACEHOLDER), "placeholder").when(F.length("text") < 20, "uncertain").otherwise("usable")
-    return _docs(spark, sf_dir).select("doc_id", status.alias("structure_status"))
+    return _docs(spark, sf_dir).select("doc_id", _gate().alias("g")).select("doc_id", F.col("g.status").alias("structure_status"), F.col("g.reason").alias("structure_reason_code"))
 
 
 def structure_counts(spark, sf_dir):
-    """The gate of the full chain: title, body and status."""
-    status = T.structure_status(F.lit(None).cast("string"), F.col("text"), F.when(F.col("source") == "src3", "deleted").otherwise("ok"))
-    return _docs(spark, sf_dir).groupBy(status.alias("structure_status")).agg(F.count(F.lit(1)).alias("n"))
+    return _docs(spark, sf_dir).select(_gate().alias("g")).groupBy(F.col("g.status").alias("structure_status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def normalised_posts(spark, sf_dir):
+    """Every post as one struct of the whole chain: projection, normalisation, gate, keys."""
+    post = T.normalise_post(F.lit(None).cast("string"), F.col("text"), F.lit("success"))
+    return _docs(spark, sf_dir).select("doc_id", post.alias("p")).select("doc_id", "p.normalized_sha256", "p.exact_canonical_sha256", "p.structure_status", "p.structure_reason_code", "p.title_length", "p.body_length")
 
 
 def length_bands(spark, sf_dir):
@@ -124,7 +134,7 @@ def word_log_ratio(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    exact_clusters, cluster_members_ranked, cluster_label_conflict, complete_representative, normalised_lengths, normalised_text, topic_mention_counts, structure_gate, structure_counts, length_bands,
+    exact_clusters, cluster_members_ranked, cluster_label_conflict, complete_representative, normalised_lengths, normalised_text, normalised_posts, topic_mention_counts, structure_gate, structure_counts, length_bands,
     sentence_counts, author_pseudonyms, source_digests, gram_df, blocking_keys, candidate_pairs, near_pairs, near_components, word_log_ratio,
 )}
 
@@ -135,8 +145,15 @@ _KEYS = f"""{_GRAMS}, df AS (SELECT gram, count(*) AS df FROM grams GROUP BY gra
 keys AS (SELECT item_id, gram, df FROM (SELECT item_id, gram, df, row_number() OVER (PARTITION BY item_id ORDER BY df, length(gram) DESC, gram) AS r FROM grams JOIN df USING (gram), n
   WHERE df BETWEEN 2 AND greatest(2, least(200, CAST(floor(n.n * 0.05) AS BIGINT)))) WHERE r <= 12)"""
 
+#: NFKC and case folding, as far as letters of the four languages of the table need them.
+_EXACT = "sha256('T:' || chr(31) || 'B:' || regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '\\s+', '', 'g'))"
+_GATE = r"""CASE WHEN coalesce(text, '') = '' THEN 'invalid empty_title_and_body' WHEN source = 'src1' THEN 'invalid invalid_source_status'
+  WHEN regexp_full_match(text, '请先登录|登录后查看|登录即可查看') THEN 'invalid login_wall' WHEN regexp_full_match(text, '抓取失败|加载失败|网络错误|页面出错') THEN 'invalid capture_error'
+  WHEN regexp_full_match(text, '内容不存在|内容已删除|帖子不存在|该内容无法查看') THEN 'invalid content_unavailable' WHEN regexp_full_match(text, '暂无内容|暂无正文|无正文|加载中[.。…]*') THEN 'invalid placeholder_text'
+  WHEN source = 'src2' THEN 'uncertain uncertain_source_status' WHEN regexp_full_match(text, '(?:\[(?:URL|MENTION|EMOJI)\]|\s)+') THEN 'uncertain replacement_tokens_only' ELSE 'usable structure_usable' END"""
+
 ORACLES = {
-    "exact_clusters": f"SELECT {_KEY} AS cluster_key, count(*) AS cluster_size, min(doc_id) AS representative, min(source) <> max(source) AS cross_platform FROM documents GROUP BY 1",
+    "exact_clusters": f"SELECT {_EXACT} AS cluster_key, count(*) AS cluster_size, min(doc_id) AS representative, min(source) <> max(source) AS cross_platform FROM documents GROUP BY 1",
     "cluster_members_ranked": f"""
 WITH d AS (SELECT doc_id, {_KEY} AS cluster_key FROM documents)
 SELECT doc_id, cluster_key, count(*) OVER w AS cluster_size, min(doc_id) OVER w AS representative, doc_id = min(doc_id) OVER w AS is_representative FROM d WINDOW w AS (PARTITION BY cluster_key)""",
@@ -153,9 +170,14 @@ FROM (SELECT doc_id, text, trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', '
     "topic_mention_counts": r"""
 SELECT doc_id, CAST(len(regexp_extract_all(text, '#([^#\n]{1,100})#')) AS BIGINT) AS topics, CAST(len(regexp_extract_all(text, '@[A-Za-z0-9_]+')) AS BIGINT) AS mentions,
   CAST(len(regexp_extract_all(text, '[!?]')) AS BIGINT) AS marks FROM documents""",
-    "structure_gate": r"""
-SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN source IN ('src1', 'src2') THEN 'bad_status'
-  WHEN regexp_matches(text, '(?i)^(?:null|none|n/?a|nan|undefined|deleted|removed|\[deleted\]|\[removed\])$') THEN 'placeholder' WHEN length(text) < 20 THEN 'uncertain' ELSE 'usable' END AS structure_status FROM documents""",
+    "structure_gate": f"SELECT doc_id, split_part({_GATE}, ' ', 1) AS structure_status, split_part({_GATE}, ' ', 2) AS structure_reason_code FROM documents",
+    "structure_counts": f"SELECT split_part({_GATE}, ' ', 1) AS structure_status, count(*) AS n FROM documents GROUP BY 1",
+    "author_pseudonyms": """
+WITH k AS (SELECT rpad(hex('key'::BLOB), 128, '0') AS k), p AS (
+  SELECT string_agg(printf('%02x', xor(('0x' || k[2 * i + 1 : 2 * i + 2])::INTEGER, 54)), '' ORDER BY i) AS ipad, string_agg(printf('%02x', xor(('0x' || k[2 * i + 1 : 2 * i + 2])::INTEGER, 92)), '' ORDER BY i) AS opad
+  FROM k, (SELECT unnest(range(64)) AS i))
+SELECT DISTINCT source, sha256(unhex(opad) || unhex(sha256(unhex(ipad) || source::BLOB)))[1:16] AS pseudonym,
+  CASE WHEN length(source) <= 1 THEN '*' WHEN length(source) = 2 THEN source[1:1] || '*' ELSE source[1:1] || repeat('*', length(source) - 2) || right(source, 1) END AS shown, sha256(source) AS digest FROM documents, p""",
     "length_bands": """
 SELECT CAST(CASE WHEN length(text) >= 400 THEN 4 WHEN length(text) >= 150 THEN 3 WHEN length(text) >= 60 THEN 2 WHEN length(text) >= 20 THEN 1 ELSE 0 END AS INTEGER) AS band,
   count(*) AS n, min(n_chars) AS shortest, max(n_chars) AS longest FROM documents GROUP BY 1""",

@@ -209,8 +209,8 @@ QUERIES = {f.__name__: f for f in (
 _S = f"s AS (SELECT doc_id, quality, toxic, {_P_SQL} AS p FROM labels)"
 _ROUTE = "CASE WHEN p <= 0.31 THEN 'auto_keep' WHEN p >= 0.96 THEN 'auto_exclude' ELSE 'manual_review' END"
 _BAND = "CASE WHEN n_chars >= 400 THEN 4 WHEN n_chars >= 150 THEN 3 WHEN n_chars >= 60 THEN 2 WHEN n_chars >= 20 THEN 1 ELSE 0 END"
-_JOINT = """CASE WHEN p <= 0.2 AND q <= 0.2 THEN 'both_low' WHEN p >= 0.8 AND q >= 0.8 THEN 'both_high' WHEN abs(p - q) >= 0.5 THEN 'strong_disagreement'
-  WHEN p BETWEEN 0.4 AND 0.6 AND q BETWEEN 0.4 AND 0.6 THEN 'both_uncertain' WHEN (p < 0.5) <> (q < 0.5) THEN 'mild_disagreement' ELSE 'same_side' END"""
+_JOINT = """CASE WHEN p >= 0.9 AND q >= 0.9 THEN 'both_p_ge_0_90' WHEN q >= 0.9 THEN 'qwen_only_p_ge_0_90' WHEN p >= 0.9 THEN 'sparse_only_p_ge_0_90'
+  WHEN (p >= 0.5) <> (q >= 0.5) THEN 'action_disagreement_at_0_50' WHEN p >= 0.5 AND q >= 0.5 THEN 'both_p_ge_0_50_remainder' ELSE 'both_p_lt_0_50' END"""
 _GRID = f"""{_S}, k AS (SELECT CAST(unnest(range(1, 20)) AS INTEGER) AS step),
 g AS (SELECT a.step AS keep_step, b.step AS exclude_step, count(*) FILTER (p <= a.step / 20.0) AS keep_n, count(*) FILTER (p >= b.step / 20.0) AS exclude_n, count(*) FILTER (p > a.step / 20.0 AND p < b.step / 20.0) AS manual_n,
   count(*) FILTER (p <= a.step / 20.0 AND toxic = 1) AS keep_bad, count(*) FILTER (p >= b.step / 20.0 AND toxic = 0) AS exclude_bad FROM k a, k b, s WHERE a.step < b.step GROUP BY 1, 2),

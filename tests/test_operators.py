@@ -34,6 +34,10 @@ def one(spark, column, **values):
         ("x👨‍👩‍👧y", "x[EMOJI]y"),
         ("a​b\tc  d", "ab c d"),
         ("a\r\nb c\n\n\n\nd  ", "a\nb\nc\n\nd"),
+        ("看 https://EXAMPLE.org/a?x=1，@小李 #春游# 出发", "看 [URL],[MENTION] [TOPIC]春游[/TOPIC] 出发"),
+        ("http://a.example/x(1) www.b.example/y]. https://c.example/z.", "[URL](1) [URL]]. [URL]."),
+        ("@" + "a" * 80 + " @b-. @", "[MENTION] [MENTION]-. @"),
+        ("#a\n#b# x\x1fy", "#a\n[TOPIC]b[/TOPIC] x y"),
         (None, None),
     ],
 )
@@ -48,10 +52,29 @@ def test_exact_key_ignores_case_width_and_blanks(spark):
     assert keys[0] == keys[1] != keys[2]
 
 
+    zero_width = spark.createDataFrame([("a\u200bb\r\nc", "ab\nc")], "x string, y string")
+    none = F.lit(None).cast("string")
+    assert zero_width.where(text.exact_key(none, F.col("x")) == text.exact_key(none, F.col("y"))).count() == 1
+
+
 def test_structure_gate(spark):
-    rows = [(None, " ", "ok", "empty"), ("a", None, "deleted", "bad_status"), (None, "N/A", "ok", "placeholder"), ("a", "b", "unknown", "uncertain"), (None, "[URL] [EMOJI]", "ok", "replacement_only"), ("a", "b", "ok", "usable")]
-    df = spark.createDataFrame(rows, "t string, b string, s string, want string")
-    assert df.where(text.structure_status(F.col("t"), F.col("b"), F.col("s")) != F.col("want")).count() == 0
+    rows = [
+        (None, "", "success", "invalid", "empty_title_and_body"), (None, "请先登录", "success", "invalid", "login_wall"), (None, "a", " FAILED", "invalid", "invalid_source_status"), (None, "登录 a", None, "usable", "structure_usable"),
+        (None, "[URL] [EMOJI]\n", "success", "uncertain", "replacement_tokens_only"), ("a", None, "partial", "uncertain", "uncertain_source_status"), (None, "x", "success", "usable", "structure_usable"), (None, "加载中……", "unknown", "invalid", "placeholder_text"),
+    ]
+    df = spark.createDataFrame(rows, "t string, b string, s string, status string, reason string")
+    gate = text.structure_status(F.col("t"), F.col("b"), F.col("s"))
+    assert df.where((gate["status"] != F.col("status")) | (gate["reason"] != F.col("reason"))).count() == 0
+
+
+def test_post_as_one_struct(spark):
+    rows = [(None, "a\u200b b", "success"), ("T", '{"ops":[{"insert":"x"},{"insert":{"image":"u"}}]}', None), (None, "{broken", "success"), (None, None, "success")]
+    df = spark.createDataFrame(rows, "t string, b string, s string")
+    got = [r.p for r in df.select(text.normalise_post(F.col("t"), F.col("b"), F.col("s")).alias("p")).collect()]
+    assert [(p.model_text, p.structure_status, p.structure_reason_code) for p in got] == [
+        ("[TITLE]\n\n[BODY]\na b", "usable", "structure_usable"), ("[TITLE]\nT\n[BODY]\nx", "usable", "structure_usable"), ("[TITLE]\n\n[BODY]\n", "invalid", "invalid_json"), ("[TITLE]\n\n[BODY]\n", "invalid", "empty_title_and_body"),
+    ]
+    assert [p.exact_canonical_sha256 is None for p in got] == [False, False, True, True]
 
 
 def test_rich_text(spark):
@@ -145,7 +168,10 @@ def test_flags_and_leaves(spark):
 
 def test_allocation_and_folds():
     assert sampling.redistributed({"a": 3, "b": 100, "c": 50}, {"a": 10, "b": 10, "c": 10}) == {"a": 3, "b": 15, "c": 12}
-    assert sum(sampling.redistributed({"a": 1, "b": 1}, {"a": 5, "b": 5}).values()) == 2
+    assert sampling.redistributed({"z": 2, "m": 6, "a": 6}, {"z": 5, "m": 3, "a": 3}) == {"z": 2, "m": 5, "a": 4}, "ties by the targets' order"
+    for population in ({"a": 1, "b": 1}, {"a": 100}):
+        with pytest.raises(ValueError):
+            sampling.redistributed(population, {"a": 5, "b": 5})
     k, fold = sampling.valid_folds([(f"c{i}", i % 2, 1 - i % 2) for i in range(10)], 5)
     assert k == 5 and all(sum(fold[f"c{i}"] == f for i in range(10)) == 2 for f in range(5))
     with pytest.raises(ValueError):
@@ -174,9 +200,30 @@ def test_bootstrap_and_gates():
 
 
 def test_creator_roles(spark):
-    rows = [("IN", ["CREDENTIAL"], ["PURCHASE"], "HYBRID"), ("IN", ["CREDENTIAL"], ["NONE"], "KOL"), ("IN", ["NONE"], ["PURCHASE"], "KOC"), ("IN", ["NONE"], ["NONE"], "ORDINARY"), ("IN", ["UNK"], ["NONE"], "UNK"), ("IN", ["NONE", "CREDENTIAL"], ["NONE"], "ERROR"), ("OUT_OF_SCOPE", [], [], "NA")]
-    df = spark.createDataFrame(rows, "s string, e array<string>, c array<string>, want string")
-    assert df.where(authors.creator_role(F.col("s"), F.col("e"), F.col("c")) != F.col("want")).count() == 0
+    both, person = ["CE_FIRSTHAND_REPEAT", "CE_PEER_ORIENTATION"], "PERSONAL_CREATOR"
+    rows = [
+        (person, ["EA_CREDENTIAL"], ["CE_NONE"], 3, 30, True, "KOL_TYPE"), (person, ["EA_NONE"], both, 3, 30, True, "KOC_TYPE"), (person, ["EA_SPECIALIST_HISTORY"], both, 4, 90, True, "HYBRID"),
+        (person, ["EA_NONE"], ["CE_NONE"], 3, 30, True, "ORDINARY"), (person, ["EA_NONE"], both[:1], 3, 30, True, "UNK"), (person, ["EA_UNK"], both, 3, 30, True, "UNK"), (person, ["EA_CREDENTIAL"], both, 2, 30, True, "UNK"),
+        (person, ["EA_NONE"], both, 3, 29, True, "ERROR"), (person, ["EA_NONE", "EA_CREDENTIAL"], both, 3, 30, True, "ERROR"), (person, ["PURCHASE"], both, 3, 30, True, "ERROR"), ("SOMEONE", [], [], 3, 30, True, "ERROR"),
+        ("ORGANIZATION", [], [], 0, 0, False, "NA"), ("UNCLEAR", [], [], 9, 99, True, "UNK"), (person, None, None, 3, 30, True, "UNK"), (person, [" EA_CREDENTIAL ", ""], ["CE_NONE"], 3, 30, True, "KOL_TYPE"),
+    ]
+    df = spark.createDataFrame(rows, "s string, e array<string>, c array<string>, dates int, span int, profile boolean, want string")
+    got = df.select("want", authors.creator_role(*(F.col(c) for c in ("s", "e", "c", "dates", "span", "profile"))).alias("r")).collect()
+    assert [r.r.role for r in got] == [r.want for r in got]
+    assert got[0].r.sustained == "1" and got[5].r.expert == "UNK" and got[11].r.evidence == "OUT_OF_SCOPE"
+
+
+def test_joint_strata_take_the_first_that_holds(spark):
+    rows = [(0.9, 0.95, "both_p_ge_0_90"), (0.2, 0.9, "qwen_only_p_ge_0_90"), (0.91, 0.6, "sparse_only_p_ge_0_90"), (0.5, 0.49, "action_disagreement_at_0_50"), (0.5, 0.89, "both_p_ge_0_50_remainder"), (0.1, 0.4, "both_p_lt_0_50")]
+    df = spark.createDataFrame(rows, "p double, q double, want string")
+    assert df.where(routing.joint_stratum(F.col("p"), F.col("q")) != F.col("want")).count() == 0
+
+
+def test_nearest_control_of_a_large_stratum(spark):
+    cases = spark.range(0, 20000, 10).select(F.lit("x").alias("g"), F.lit(1).alias("band"), (F.col("id") * 3).cast("int").alias("n"), "id")
+    pool = spark.range(20000).where("id % 10 <> 0").select(F.lit("x").alias("g"), F.lit(1).alias("band"), (F.col("id") * 3).cast("int").alias("n"), "id")
+    got = relational.nearest_controls(cases, pool, ["g"], "band", "n", "id").collect()
+    assert len(got) == 2000 and all(r.length_gap == 3 and r.control_id == (r.case_id - 1 if r.case_id else 1) for r in got)
 
 
 def test_evidence_spans(spark):
@@ -212,7 +259,16 @@ def test_units_and_curves():
     units = segment.build_units(t)
     assert "".join(t[u.start : u.end] for u in units) == t and len(units) == 4
     assert segment.build_units("  ") == [] and len(segment.build_units("a" * 300, 128)) == 3
-    assert segment.valleys([1, 0.2, 0.2, 0.2, 1]) == [2] and segment.valleys([1, 1]) == [0] and segment.valleys([0.5]) == []
+    assert segment.valleys([1, 0.2, 0.2, 0.2, 1]) == [2] and segment.valleys([1, 1]) == [0] and segment.valleys([0.5]) == [0]
+    assert segment.valleys([0.5, 0.5 + 6e-7, 0.5 + 12e-7], 1e-6) == [0] and segment.valleys([0.9, 0.2, 0.9, 0.2, 0.9], 1e-6) == [1, 3] and segment.valleys([]) == []
+    right, up = np.eye(2)
+    assert np.allclose(segment.cohesion([16, 16, 16], [right, up, up], 200), [0, 2**-0.5])
+    assert np.allclose(segment.cohesion([5, 5, 5], [right, up, up], 6), [0, 2**-0.5]), "the unit at the window's edge counts"
+    assert len(segment.cohesion([], np.zeros((0, 2)), 5)) == 0
+    for vectors in ([right, -right, up], [right, 0 * up, up]):
+        with pytest.raises(ValueError):
+            segment.cohesion([5, 5, 5], vectors, 200)
+    assert list(segment._short("ab, cdef" * 3, 0, 24, 5, len)) == [(0, 3), (3, 8), (8, 11), (11, 16), (16, 19), (19, 24)]
     assert np.allclose(segment.depths([0.9, 0.3, 0.7]), [0, 1.0, 0])
     assert segment.ranked([0, 1, 2], [0.5, 0.5, 0.5], [1, 1 + 1e-12, 2]) == [2, 0, 1]
 
@@ -292,7 +348,7 @@ def test_calibration_and_fusion():
 def test_queries_have_oracles_or_are_known_without():
     from quern.plans import catalog
 
-    without = {"normalised_text", "structure_counts", "author_pseudonyms", "near_pairs", "tail_bounds", "segments", "svm_margin_oof", "sigmoid_calibration", "conversation_cohesion"}
+    without = {"normalised_text", "normalised_posts", "near_pairs", "tail_bounds", "segments", "svm_margin_oof", "sigmoid_calibration", "conversation_cohesion"}
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == without and set(catalog.ORACLES) <= set(catalog.QUERIES)
 
 

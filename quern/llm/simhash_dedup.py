@@ -1,14 +1,15 @@
 """SimHash near-duplicates found with BK-trees.
 
-Each text gets a 64-bit SimHash of its word shingles. Equal fingerprints are collapsed first, so
-a group of copies of any size is one tree node. Fingerprints within ``radius`` bits agree on one
-of ``radius + 1`` bands of bits; that band's value names the shard whose BK-tree (children keyed
-by their distance to the parent, searched along edges within the radius) serves them. A whole
-corpus's trees would grow with the corpus, so they are not sent to every executor: rows are
-dealt to the shard trees. A shard of more than ``TREE_NODES`` fingerprints is split into trees
-of about that size, and each of its fingerprints queries all of them in turn. A tree yields a
-spanning forest of its links, never all pairs; stars of those forests are contracted to
-components. Nothing but counts and checksums reaches the driver.
+Each text gets a 64-bit SimHash of its word shingles. Equal fingerprints are collapsed first, so a group of copies of
+any size is one tree node. Fingerprints within ``radius`` bits agree on one of ``radius + 1`` bands of bits, and so on
+any of that band's bits: as many of them name a shard as make shards of about ``TREE_NODES`` fingerprints. A shard's
+BK-tree (children keyed by their distance to the parent, searched along edges within the radius) decides which of them
+are linked; the band only says where they meet. A shard of more than ``HOT_NODES`` is dealt anew by its whole band and
+the bands of its other bits, which three rows a fingerprint pay for, however hot it is.
+
+A whole corpus's trees would grow with the corpus, so they are not broadcast: rows are dealt to the shard trees. A tree
+yields a spanning forest of its links, never all pairs; stars of those forests are contracted to components. Nothing
+but counts and checksums reaches the driver.
 
 Defined cases: null, empty and white-space texts have fingerprint zero and are linked like any
 other; texts of fewer words than a shingle are one shingle; ties between ids go to the smallest;
@@ -18,12 +19,13 @@ each give a row; other columns are ignored; an empty table gives an empty result
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.words import ascii_lower, map_batches, texts_of
@@ -34,7 +36,8 @@ SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 2
 BITS = 64
-TREE_NODES = 2048
+TREE_NODES = 512  #: of a shard's tree, on average
+HOT_NODES = 32 * TREE_NODES
 _MASK = (1 << BITS) - 1
 
 
@@ -112,10 +115,6 @@ class ShardLinks:
         for other in near:
             self.parent[self.root(other)] = self.root(k)
 
-    def query(self, x: int) -> list[tuple[int, int]]:
-        """One link for each component of the tree that x touches."""
-        return [(x, self.tree.value[r]) for r in {self.root(k) for k in self.tree.within(x, self.radius)} if self.tree.value[r] != x]
-
     def forest(self) -> list[tuple[int, int]]:
         return [(x, self.tree.value[r]) for k, x in enumerate(self.tree.value) if (r := self.root(k)) != k]
 
@@ -135,39 +134,51 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(rows, make, f"id {kind}, text_key bigint, fp bigint")
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
+def _bits(low: int, high: int) -> Column:
+    """The bits of fp from ``low`` to below ``high``."""
+    return F.shiftrightunsigned(F.shiftleft("fp", BITS - high), BITS - high + low)
+
+
+def _other_bits(low: int, high: int) -> Column:
+    """fp without those bits."""
+    above = F.shiftleft(F.shiftrightunsigned("fp", high), low) if high < BITS else F.lit(0).cast("bigint")
+    return above.bitwiseOR(_bits(0, low)) if low else above
+
+
+def _edges(bits: int, parts: int) -> list[tuple[int, int]]:
+    return [(bits * k // parts, bits * (k + 1) // parts) for k in range(parts)]
+
+
+def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES, hot_nodes: int = HOT_NODES) -> DataFrame:
     """Links (src, dst) that connect all of ``distinct.fp`` within ``radius`` bits of each other."""
-    bounds = [BITS * k // (radius + 1) for k in range(radius + 2)]
-    band = lambda low, high: F.shiftrightunsigned(F.shiftleft("fp", BITS - high), BITS - high + low)
-    bands = [F.struct(F.lit(k).alias("band"), band(a, b).alias("bits")) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
-    rows = distinct.select("fp", F.explode(F.array(*bands)).alias("b")).select("fp", "b.band", "b.bits")
-    shared = rows.groupBy("band", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(shared, ["band", "bits"]).withColumn("trees", F.ceil(F.col("n") / tree_nodes).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
-    dealt = rows.select("band", "bits", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: F.struct(t.alias("tree"), (t != F.col("own")).alias("asks")))).alias("t"))
-    dealt = dealt.select("band", "bits", "t.tree", "t.asks", "fp")
-    dealt = dealt.repartition(F.col("band"), F.col("bits"), F.col("tree")).sortWithinPartitions("band", "bits", "tree", "asks", "fp")
+    wanted = max(0, math.ceil(math.log2(max(1, distinct.count() / tree_nodes))))
+    parts = []
+    for k, (low, high) in enumerate(_edges(BITS, radius + 1)):
+        rest = _other_bits(low, high)
+        inner = [F.xxhash64(F.lit(k), _bits(low, high), F.lit(j), F.shiftrightunsigned(F.shiftleft(rest, BITS - b), BITS - b + a)) for j, (a, b) in enumerate(_edges(BITS - high + low, radius + 1))]
+        parts.append(F.struct(F.xxhash64(F.lit(k), _bits(low, min(high, low + wanted)) if wanted else F.lit(0)).alias("shard"), F.array(*inner).alias("inner")))
+    rows = distinct.select("fp", F.explode(F.array(*parts)).alias("s")).select("fp", "s.shard", "s.inner")
+    hot = rows.groupBy("shard").agg((F.count(F.lit(1)) > hot_nodes).alias("hot")).where("hot")
+    rows = rows.join(hot, "shard", "left").select("fp", F.explode(F.when(F.col("hot"), F.col("inner")).otherwise(F.array("shard"))).alias("shard"))
+    dealt = rows.repartition(F.col("shard")).sortWithinPartitions("shard", "fp")
     ready_python(distinct.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, shard, links = None, None, []
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+        at, shard = None, ShardLinks(radius)
         for batch in batches:
-            for band_, bits, tree, asks, fp in zip(*(c.to_pylist() for c in batch.columns)):
-                if (band_, bits, tree) != at:
-                    links += shard.forest() if shard else []
-                    at, shard = (band_, bits, tree), ShardLinks(radius)
-                if asks:
-                    links += shard.query(fp)
-                else:
-                    shard.node(fp)
-            if links:
-                yield out()
-                links = []
-        links = shard.forest() if shard else []
-        if links:
-            yield out()
-
-    return dealt.mapInArrow(run, "src bigint, dst bigint")
+            links = []
+            for fp, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name != at:
+                    links += shard.forest()
+                    at, shard = name, ShardLinks(radius)
+                shard.node(fp)
+            yield out(links)
+        yield out(shard.forest())
+
+    def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+
+    return dealt.select("fp", "shard").mapInArrow(run, "src bigint, dst bigint")
 
 
 def near_duplicates(
@@ -177,7 +188,7 @@ def near_duplicates(
     keeper (whether this is the group's document to stay: the one with that id)."""
     rows = cut(fingerprints(docs, id_col, text_col, shingle_words))
     first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "text_key")).alias("first")
-    same = rows.groupBy("fp").agg(first)
+    same = cut(rows.groupBy("fp").agg(first))
     return with_keepers(rows, same, link_fingerprints(same.select("fp"), radius, tree_nodes))
 
 

@@ -4,8 +4,9 @@ Items and documents are lower-cased (A-Z) and cut into words of ASCII letters, d
 non-ASCII characters. Every run of ``window`` consecutive item words is a pattern (a shorter
 item is one pattern); the automaton runs over word numbers, so a document is scanned once and
 each hit maps back to the offsets of its words in the original text. Documents are never
-shuffled. The patterns are broadcast only while the benchmark keeps within ``max_items_mb``;
-a larger one is taken in slices of that size, each scanned in turn and cut by a checkpoint.
+shuffled. An automaton takes about 75 times the memory of its items' text, so items are broadcast in slices of
+at most ``max_items_mb`` (about 450 MB of automaton in each Python worker, which builds it once and keeps it for
+its next tasks). A larger benchmark is scanned slice after slice, each cut from the one before by a checkpoint.
 
 Defined cases: a null or empty text has no words and no hits; an item whose text or id is null,
 or that has no words, has no patterns; equal item ids count once; an empty benchmark leaves all
@@ -14,6 +15,8 @@ documents clean; repeated rows each give a row; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from quern.llm.words import alnum_spans, alnum_words, code_points, map_batches,
 from quern.session import cut, fresh
 
 WINDOW = 10
-MAX_ITEMS_MB = 64
+MAX_ITEMS_MB = 6
 _SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
@@ -64,6 +67,16 @@ class ItemAutomaton:
         return hit, owners
 
 
+_BUILT: dict[tuple[str, int], ItemAutomaton] = {}  #: of this worker: the last automaton and the items that it is of
+
+
+def _automaton(name: str, items, window: int) -> ItemAutomaton:
+    if (name, window) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name, window] = ItemAutomaton(items.value, window)
+    return _BUILT[name, window]
+
+
 def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     step = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
@@ -116,8 +129,10 @@ def _scan(docs: DataFrame, items, text_col: str, window: int, earlier: str | Non
     kind = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:" + _SPANS + ">"
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept) + f", `contamination` {kind}"
 
+    name = uuid.uuid4().hex
+
     def make():
-        automaton = ItemAutomaton(items.value, window)
+        automaton = _automaton(name, items, window)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             before = batch.column(batch.schema.get_field_index(old)).to_pylist() if earlier else [None] * batch.num_rows

@@ -1,16 +1,20 @@
 """Resharding as a minimum-cost flow.
 
-From the sizes of old shards and the capacities of new ones, a minimum-cost flow gives how many
-bytes go from which to which, moving as few as possible (keeping a shard's bytes where they are
-costs nothing). Rows move in blocks: each old shard is cut by hash into a fixed number of them, so
-that the flow and the choice of blocks work on a table whose size no corpus can raise, and only
-files of shards that gain or lose a block are rewritten.
+From the sizes of old shards and the capacities of new ones, a minimum-cost flow gives how many bytes go from which to
+which, moving as few as possible (keeping a shard's bytes where they are costs nothing). Rows move in blocks: each old
+shard is cut by hash into a fixed number of them, so that the flow and the choice of blocks work on a table whose size
+no corpus can raise, and only files of shards that gain or lose a block are rewritten.
+
+Unless prices differ, what a shard can keep is kept first, and only surpluses and deficits are left in the network. There
+every arc costs the same, so any flow that empties the surpluses is of least cost, and one pass over both lists gives
+it; thousands of shards take milliseconds. With a price for each pair, successive shortest paths solve the whole network.
 
 Rows with equal text share a block and stay together, unless their group holds over an eighth
 of a new shard: such hot groups are at most eight times the number of shards, and are dealt by id.
 
 Defined cases: a null text has no bytes (size 8, checksum 0); equal rows share a block; ids may be
-null or repeat; an empty table gives no rows; other columns are ignored, whatever their names.
+null or repeat, also where files are rewritten; a new shard may have a share of nothing; shares below nothing, or of
+nothing in all, raise; an empty table gives no rows; other columns are ignored, whatever their names, or carried.
 """
 
 from __future__ import annotations
@@ -26,7 +30,27 @@ from quern.session import cut
 ROW_BYTES = 8
 NEW_SHARDS = 24
 OLD_SHARDS = 20
-BLOCKS = 512  #: of each old shard
+BLOCKS = 512  #: of each old shard, as long as there are no more than
+MAX_BLOCKS = 1 << 18  #: in all; of each shard then fewer, but at least 16
+
+
+def least_moves(supply: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
+    """The minimum-cost flow where moving a byte costs the same between any two shards, and keeping it nothing."""
+    if sum(supply) > sum(capacity):
+        raise ValueError("the new capacities are too small")
+    kept = [min(s, c) for s, c in zip(supply, capacity)]
+    flow = {(k, k): x for k, x in enumerate(kept) if x}
+    surplus = [(i, s - (kept[i] if i < len(kept) else 0)) for i, s in enumerate(supply)]
+    deficit = iter([(j, c - (kept[j] if j < len(kept) else 0)) for j, c in enumerate(capacity)])
+    j, room = next(deficit, (0, 0))
+    for i, left in surplus:
+        while left:
+            while not room:
+                j, room = next(deficit)
+            pushed = min(left, room)
+            flow[i, j] = flow.get((i, j), 0) + pushed
+            left, room = left - pushed, room - pushed
+    return flow
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -93,17 +117,23 @@ class Plan:
     affected: tuple[int, ...]  #: new shards whose files change
 
 
-def plan_blocks(blocks: dict[tuple[int, int], tuple[int, int]], old: int, capacity: list[int], cost=lambda i, j: float(i != j)) -> Plan:
-    """From {(old shard, block): (bytes, rows)} to a target for each block."""
+def plan_blocks(blocks: dict[tuple[int, int], tuple[int, int]], old: int, capacity: list[int], cost=None) -> Plan:
+    """From {(old shard, block): (bytes, rows)} to a target for each block; ``cost(i, j)`` prices a byte, where moves don't all cost the same."""
     supply = [0] * old
     for (i, _), (size, _) in blocks.items():
         supply[i] += size
-    flow = min_cost_flow(supply, capacity, cost)
+    flow = min_cost_flow(supply, capacity, cost) if cost else least_moves(supply, capacity)
+    shares: dict[int, dict[int, int]] = {i: {} for i in range(old)}
+    for (i, j), f in flow.items():
+        shares[i][j] = f
+    of_shard: dict[int, list[tuple[int, tuple[int, int]]]] = {i: [] for i in range(old)}
+    for key, (size, _) in blocks.items():
+        of_shard[key[0]].append((size, key))
     target: dict[tuple[int, int], int] = {}
     load = [0] * len(capacity)
     for i in range(old):
-        left = {j: f for (a, j), f in flow.items() if a == i} or {0: 0}
-        for size, key in sorted(((size, k) for k, (size, _) in blocks.items() if k[0] == i), reverse=True):
+        left = shares[i] or {0: 0}
+        for size, key in sorted(of_shard[i], reverse=True):
             j = max(left, key=lambda j: (left[j], j == i, -j))
             left[j] -= size
             load[j] += size
@@ -141,10 +171,12 @@ def _even_out(blocks, target, load, capacity) -> None:
         load[low] += size
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, old_shard: Column) -> DataFrame:
-    """(id, size, text_crc32, same, old): ``same`` is a hash of the text."""
+def measured(docs: DataFrame, id_col: str, text_col: str, old_shard: Column, carry: bool = False) -> DataFrame:
+    """(id, size, text_crc32, same, old, row): ``same`` is a hash of the text, ``row`` all columns, if they are to be carried, else null."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + ROW_BYTES).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("same"), old_shard.cast("int").alias("old"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.lit(None).cast("boolean")
+    size, crc = (F.octet_length(text) + ROW_BYTES).cast("bigint"), F.crc32(text.cast("binary"))
+    return docs.select(F.col(id_col).alias("id"), size.alias("size"), crc.alias("text_crc32"), F.xxhash64(text).alias("same"), old_shard.cast("int").alias("old"), row.alias("row"))
 
 
 def shard_by_hash(text_col: str = "text", shards: int = OLD_SHARDS) -> Column:
@@ -153,38 +185,48 @@ def shard_by_hash(text_col: str = "text", shards: int = OLD_SHARDS) -> Column:
 
 
 def reshard(
-    docs: DataFrame, old_shard: Column, old: int, capacity_shares: list[float], id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS, cost=lambda i, j: float(i != j)
+    docs: DataFrame, old_shard: Column, old: int, capacity_shares: list[float], id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS, cost=None, carry: bool = False
 ) -> tuple[DataFrame, Plan]:
-    """(rows, plan): rows have id, size, text_crc32, old, shard and slot (gapless from 0 in each shard).
+    """(rows, plan): rows have id, size, text_crc32, old, shard and slot (gapless from 0 in each shard), and with ``carry`` all columns of ``docs`` as a struct ``row``.
 
     ``old_shard`` gives a row's shard now, from 0 to ``old`` - 1; ``capacity_shares`` the share of all bytes that each new
-    shard is to hold. The driver gets sums of at most ``old * blocks`` blocks.
+    shard is to hold. The driver gets sums of at most ``MAX_BLOCKS`` blocks (or 16 of each old shard).
     """
-    spark, rows, new = docs.sparkSession, cut(measured(docs, id_col, text_col, old_shard)), len(capacity_shares)
+    if min(capacity_shares, default=0) < 0 or sum(capacity_shares) <= 0:
+        raise ValueError("shares must not be negative, nor nothing in all")
+    spark, rows, new = docs.sparkSession, cut(measured(docs, id_col, text_col, old_shard, carry)), len(capacity_shares)
+    blocks = max(1, min(blocks, max(16, MAX_BLOCKS // old)))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    limit = max(1, int(total * min(capacity_shares) / 8))
+    limit = max(1, int(total * min(x for x in capacity_shares if x) / sum(capacity_shares) / 8))
     hot = rows.groupBy("old", "same").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).where((F.col("bytes") > limit) & (F.col("n") > 1)).select("same", F.lit(True).alias("hot"))
-    # every hot group has more than an 8th of the least share: they are few, and so is what is broadcast
-    dealt = rows.join(F.broadcast(hot), "same", "left")
+    # every hot group has more than an 8th of the least share that is not nothing: with even shares eight a shard at most
+    hot = cut(hot.distinct())
+    dealt = rows.join(F.broadcast(hot) if hot.count() <= MAX_BLOCKS else hot, "same", "left")
     block = F.pmod(F.when(F.col("hot"), F.xxhash64("same", "id")).otherwise(F.xxhash64(F.col("same"), F.lit(1))), F.lit(blocks)).cast("int")
-    dealt = dealt.select("id", "size", "text_crc32", "same", "old", block.alias("block"))
+    dealt = dealt.select("id", "size", "text_crc32", "same", "old", block.alias("block"), "row")
     sums = dealt.groupBy("old", "block").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     whole = [int(total * s / sum(capacity_shares)) for s in capacity_shares]
+    fed = [k for k, s in enumerate(capacity_shares) if s]
     for k in range(total - sum(whole)):
-        whole[k % new] += 1
+        whole[fed[k % len(fed)]] += 1
     plan = plan_blocks({(r["old"], r["block"]): (r["size"], r["n"]) for r in sums}, old, whole, cost)
-    schema = "old int, block int, shard int, base bigint"
-    moves = spark.createDataFrame([(*k, *v) for k, v in sorted(plan.target.items())], schema)
+    moves = spark.createDataFrame([(*k, *v) for k, v in sorted(plan.target.items())], "old int, block int, shard int, base bigint")
     order = Window.partitionBy("old", "block").orderBy("same", "id", "text_crc32", "size")
     placed = dealt.withColumn("nth", F.row_number().over(order)).join(F.broadcast(moves), ["old", "block"])
-    return placed.select("id", "size", "text_crc32", "old", "shard", (F.col("base") + F.col("nth") - 1).alias("slot")), plan
+    return placed.select("id", "size", "text_crc32", "old", "shard", (F.col("base") + F.col("nth") - 1).alias("slot"), *(["row"] if carry else [])), plan
 
 
-def rewrite_affected(docs: DataFrame, rows: DataFrame, plan: Plan, path: str, id_col: str = "doc_id", files: int = 4) -> None:
+def rewrite_affected(rows: DataFrame, plan: Plan, path: str, files: int = 4) -> None:
     """Write the documents of affected shards below ``path``, one folder a shard and ``files`` files in each; other shards' files stay as they are.
 
-    Needs ids that are unique and not null.
+    ``rows`` are those of ``reshard`` with ``carry``: no join finds a row's place, so ids may be null or repeat. A column
+    ``shard`` of the documents gives way to the new one.
     """
-    at = rows.where(F.col("shard").isin(*plan.affected)).select(F.col("id").alias("__id"), "shard", "slot") if plan.affected else rows.limit(0).select(F.col("id").alias("__id"), "shard", "slot")
-    joined = docs.join(at, docs[id_col] == at["__id"]).drop("__id")
-    joined.repartition(files * max(1, len(plan.affected)), "shard", F.col("slot") % files).sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    spark = rows.sparkSession
+    for k in set(plan.affected) - {j for j, _ in plan.target.values()}:  # nothing is written where nothing is left
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={k}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    fields = [c for c in rows.schema["row"].dataType.names if c.lower() not in ("shard", "slot")]
+    written = rows.where(F.col("shard").isin(*plan.affected)) if plan.affected else rows.where("false")
+    written = written.select("shard", "slot", *(F.col(f"row.`{c}`").alias(c) for c in fields))
+    written.repartition(files * max(1, len(plan.affected)), "shard", F.col("slot") % files).sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)

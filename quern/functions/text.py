@@ -248,3 +248,21 @@ def canonical_hash(*columns: str) -> Column:
     """SHA-256 of the columns as compact JSON with sorted keys, nulls included."""
     fields = F.struct(*[F.col(c) for c in sorted(columns)])
     return F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
+def metadata_only(x: Column) -> Column:
+    """Whether a text is not blank, and has no letter or digit besides addresses, topics and mentions."""
+    bare = F.regexp_replace(x, r"(?U)https?://\S+|#[^\s#]+#?|@\S+", "")
+    return x.rlike(r"(?U)\S") & ~bare.rlike(r"[\p{L}\p{N}]")
+
+
+def json_change_allowed(before: Column, after: Column, value_keys: tuple[str, ...], removable_keys: tuple[str, ...] = ()) -> Column:
+    """Whether two JSON objects differ in values of ``value_keys`` alone; those may also be new, and ``removable_keys`` may be gone. Equal texts may be anything."""
+    old, new = (F.try_variant_get(F.try_parse_json(x), "$", "map<string,variant>") for x in (before, after))
+    text = lambda m, k: F.to_json(F.get(F.array(m[k]), F.lit(0)))
+    names = lambda keys: F.array(*map(F.lit, keys)).cast("array<string>")
+    removed, added = F.array_except(F.map_keys(old), F.map_keys(new)), F.array_except(F.map_keys(new), F.map_keys(old))
+    kept = F.array_except(F.array_intersect(F.map_keys(old), F.map_keys(new)), names(value_keys))
+    same = F.forall(kept, lambda k: text(old, k).eqNullSafe(text(new, k)))
+    objects = (F.size(F.array_except(removed, names(removable_keys))) == 0) & (F.size(F.array_except(added, names(value_keys))) == 0) & same
+    return before.eqNullSafe(after) | F.coalesce(objects, F.lit(False))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import clusters, extras, relations, studies
+from quern.plans import clusters, designs, extras, relations, studies
 
-MODULES = (clusters, relations, studies, extras)
+MODULES = (clusters, relations, studies, extras, designs)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -136,14 +136,15 @@ def valleys(c: Sequence[float], epsilon: float = 1e-9) -> list[int]:
 
     A plateau's values differ by at most ``epsilon`` in all, so a slow drift is not one plateau.
     """
-    values, plateaus, first = list(c), [], 0
-    for k in range(1, len(values) + 1):
-        held = values[first : k + 1]
-        if k == len(values) or max(held) - min(held) > epsilon:
-            plateaus.append((first, k - 1, min(values[first:k])))
-            first = k
+    values, plateaus = list(c), []  # first and last gap, least and greatest value
+    for k, x in enumerate(values):
+        if plateaus and max(plateaus[-1][3], x) - min(plateaus[-1][2], x) <= epsilon:
+            a, _, low, high = plateaus[-1]
+            plateaus[-1] = (a, k, min(low, x), max(high, x))
+        else:
+            plateaus.append((k, k, x, x))
     above = lambda k, least: not 0 <= k < len(values) or values[k] > least + epsilon
-    return [(a + b) // 2 for a, b, least in plateaus if above(a - 1, least) and above(b + 1, least)]
+    return [(a + b) // 2 for a, b, least, _ in plateaus if above(a - 1, least) and above(b + 1, least)]
 
 
 def ranked(gaps: Sequence[int], c: Sequence[float], d: Sequence[float], epsilon: float = 1e-9, later: bool = False) -> list[int]:

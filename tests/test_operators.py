@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import numeric, text
-from quern.operators import authors, clusters, graph, lineage, metrics, models, relational, routing, sampling, segment, similarity
+from quern.operators import authors, clusters, designs, graph, lineage, metrics, models, relational, routing, sampling, segment, similarity
 from quern.sources import files
 from quern.streaming import upsert
 
@@ -365,3 +365,68 @@ def test_top_k_of_many_queries_goes_in_blocks(spark):
     rows = lambda **kw: sorted(map(tuple, similarity.cosine_top_k(items, items, "vec_id", "embedding", 3, **kw).collect()))
     whole = rows()
     assert len(whole) == 180 and rows(block=20) == whole
+
+
+# --- sampling designs and resamples
+
+
+def test_bucketed_sample_fills_from_the_rest_and_raises(spark):
+    rows = [(f"a{k}", "rich" if k < 3 else "plain", f"g{k % 4}") for k in range(40)]
+    df = spark.createDataFrame(rows, "key string, stratum string, grp string")
+    got = designs.bucketed_sample(df, "stratum", (("rich", 15), ("edge", 5)), "grp", "key", "s", 25).collect()
+    assert len({r.key for r in got}) == 25 and sorted(r.bucket for r in got).count("rich") == 3
+    assert max(sum(r.grp == f"g{k}" for r in got) for k in range(4)) <= 8
+    with pytest.raises(ValueError):
+        designs.bucketed_sample(df, "stratum", (("rich", 15),), "grp", "key", "s", 41)
+
+
+def test_resamples_keep_their_size_and_share_draws(spark):
+    df = spark.createDataFrame([(f"c{k % 7}", k % 3 == 0, k / 100) for k in range(70)], "c string, y boolean, p double").withColumn("y", F.col("y").cast("int"))
+    times = designs.multiplicities(df, "c", "x", 50)
+    assert {r["sum(times)"] for r in times.groupBy("rep").sum("times").collect()} == {7}
+    assert sorted(times.collect()) == sorted(designs.multiplicities(df, "c", "x", 50).collect())
+    assert designs.bootstrap_ratios(df, "c", F.lit(1), F.lit(0), times).where("ratio is not null").count() == 0
+    assert {(r.log_loss_delta, r.error_delta) for r in designs.paired_deltas(df, "c", "y", "p", "p", times).collect()} == {(0.0, 0.0)}
+    assert designs.multiplicities(df.where("false"), "c", "x", 5).count() == 0
+    agreed = designs.alpha_resamples(df.withColumn("z", F.col("y")), "c", "y", "z", (0, 1), times)
+    assert {r.alpha for r in agreed.collect()} == {1.0}
+
+
+def test_coverage_threshold_takes_an_actual_score(spark):
+    scores = [0.1, 0.2, 0.2, 0.2, 0.9, 1.0, 0.0]
+    df = spark.createDataFrame([(x,) for x in scores] + [(None,)], "p double")
+    for coverage in (0.01, 0.3, 0.5, 0.7, 0.99):
+        want = np.nextafter(np.quantile(scores, 1 - coverage, method="higher"), -np.inf)
+        assert designs.coverage_threshold(df, "p", coverage) == want
+    for bad in (0.0, 1.0):
+        with pytest.raises(ValueError):
+            designs.coverage_threshold(df, "p", bad)
+    with pytest.raises(ValueError):
+        designs.coverage_threshold(df.where("false"), "p", 0.5)
+
+
+def test_alignment_bijection_and_guards(spark):
+    left = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 2)], "id int, x string, y int")
+    right = spark.createDataFrame([(1, "a", None), (2, "B", None), (4, "d", 4)], "id int, x string, y int")
+    assert {(r.id, r.state, tuple(r.changed)) for r in designs.aligned(left, right, "id", ("x", "y")).collect()} == {(1, "same", ()), (2, "changed", ("x", "y")), (3, "only_left", ()), (4, "only_right", ())}
+    keys = lambda *v: spark.createDataFrame([(x,) for x in v], "k int")
+    assert {(r.k, r.problem) for r in designs.bijection_problems(keys(1, 1, 2, 3, None), keys(1, 2, 2, 4), "k").collect()} == {(1, "repeated_left"), (2, "repeated_right"), (3, "missing_right"), (4, "missing_left"), (None, "null_key")}
+    broken = designs.guard_breaches(left, "id", [("there", right, ["id"], True), ("gone", right, ["id"], False)])
+    assert {(r.id, r.guard) for r in broken.collect()} == {(3, "there"), (1, "gone"), (2, "gone")}
+
+
+def test_schedule_follows_the_largest_relative_gap():
+    assert designs.schedule({"p": 2, "t": 1}, {"p": 5, "t": 2}) == [(1, "t", 1), (2, "p", 1), (3, "p", 2)]
+    assert designs.schedule({"p": 5, "t": 2}, {"p": 5, "t": 2})[0] == (1, "p", 1) and designs.schedule({"p": 0, "t": 0}, {"p": 1, "t": 1}) == []
+
+
+def test_safest_falls_back(spark):
+    df = spark.createDataFrame([("a", 0.2, 1), ("b", 0.1, 2)], "n string, loss double, k int")
+    pick = lambda ok: [(r.n, r.eligible) for r in designs.safest(df, ok, [F.col("loss")], [F.col("k")]).collect()]
+    assert pick(F.col("k") == 1) == [("a", True)] and pick(F.lit(True)) == [("b", True)] and pick(F.lit(None).cast("boolean")) == [("a", False)]
+
+
+def test_json_changes(spark):
+    rows = [('{"a":1,"b":2}', '{"b":2,"a":9}', True), ('{"a":1,"b":2}', '{"a":1,"b":3}', False), ('{"b":2}', '{"a":1,"b":2}', True), ('{"b":2,"c":1}', '{"b":2}', True), ('{"b":2}', "{}", False), ("x", "x", True), ("x", "y", False), ("[1]", "[2]", False), (None, None, True), ('{"b":{"x":[1,2]}}', '{"b":{"x":[1,2]}, "a":0}', True)]
+    df = spark.createDataFrame(rows, "x string, y string, want boolean")
+    assert df.where(text.json_change_allowed(F.col("x"), F.col("y"), ("a",), ("c",)) != F.col("want")).count() == 0

@@ -202,7 +202,7 @@ def char_ngrams(line: Column, low: int, high: int) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces after sentence marks and line ends, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, r"(?<=[。！？；!?;.])|\n"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[。！？；!?;.])(?!\n)|\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def alternatives(value: Column) -> Column:

@@ -68,11 +68,29 @@ def round_robin(df: DataFrame, group: str, draw: Column, key: str, n: int) -> Da
     return ranked.orderBy("turn", group).limit(n)
 
 
+def rank_in_group(df: DataFrame, group: str, by: str, ties: Sequence[str], parts: int = 128) -> DataFrame:
+    """``df`` with __i, a row's place from 0 in its group by a number and then ties, and __n, the group's rows.
+
+    Each group's numbers are cut into ``parts`` ranges of about as many rows (by approximate quantiles): ranges are counted,
+    then ranked apart, so that no group, however hot, is sorted in one task.
+    """
+    at = F.array_distinct(F.percentile_approx(by, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 20 * parts))
+    edges = df.groupBy(group).agg(at.alias("__edges"))  # a row of at most ``parts`` numbers for each group
+    keyed = df.join(edges.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+    low = F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col(by))), F.lit(0))
+    keyed = keyed.withColumn("__part", low).drop("__edges")
+    counts = keyed.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__c"))
+    whole = Window.partitionBy(group)
+    offsets = counts.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), (F.sum("__c").over(whole.orderBy("__part")) - F.col("__c")).alias("__before"), F.sum("__c").over(whole).alias("__n"))
+    inside = F.row_number().over(Window.partitionBy(group, "__part").orderBy(by, *ties))
+    ranked = keyed.withColumn("__k", inside).join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    return ranked.withColumn("__i", F.col("__before") + F.col("__k") - 1).drop("__g", "__p", "__part", "__k", "__before")
+
+
 def quantile_rows(df: DataFrame, group: str, order: Sequence[str], k: int) -> DataFrame:
-    """Earliest, latest and evenly spaced rows of each group (half-even positions)."""
-    w = Window.partitionBy(group)
-    ranked = df.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    spots = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("__n") - 1) / F.lit(max(1, k - 1))).cast("int"))
+    """Earliest, latest and evenly spaced rows of each group (half-even positions); the first column of the order is a number."""
+    ranked = rank_in_group(df, group, order[0], order[1:])
+    spots = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("__n") - 1) / F.lit(max(1, k - 1))).cast("bigint"))
     return ranked.where((F.col("__n") <= k) | F.array_contains(spots, F.col("__i"))).withColumn("position", F.col("__i").cast("bigint")).drop("__i", "__n")
 
 

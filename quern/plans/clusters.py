@@ -52,8 +52,12 @@ def normalised_text(spark, sf_dir):
 
 
 def topic_mention_counts(spark, sf_dir):
-    count = lambda p: F.regexp_count("text", F.lit(p)).cast("bigint")
-    return _docs(spark, sf_dir).select("doc_id", count("#([^#\n]{1,100})#").alias("topics"), count("@[A-Za-z0-9_]+").alias("mentions"), count("[!?]").alias("marks"))
+    """How many addresses, topics and mentions the steps of the chain replace in each text, in their order."""
+    count = lambda x, token: F.regexp_count(x, F.lit(token)).cast("bigint")
+    urls = T.replace_urls(T.unify_newlines(F.col("text")), "\x01")
+    topics = T.replace_topics(urls, T.Tokens(topic_open="\x02", topic_close="\x03"))
+    rows = _docs(spark, sf_dir).select("doc_id", topics.alias("t")).select("doc_id", "t", T.replace_mentions(F.col("t"), "\x04").alias("m"))
+    return rows.select("doc_id", count("t", "\x01").alias("urls"), count("t", "\x02").alias("topics"), count("m", "\x04").alias("mentions"))
 
 
 def _gate():
@@ -81,7 +85,8 @@ def length_bands(spark, sf_dir):
 
 
 def sentence_counts(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size(F.split("text", r"[.!?;]|\n")).cast("bigint").alias("pieces"))
+    pieces = T.sentences(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", pieces.alias("p")).select("doc_id", F.size("p").cast("bigint").alias("pieces"), F.array_max(F.transform("p", lambda x: F.length(x))).alias("longest"))
 
 
 def author_pseudonyms(spark, sf_dir):
@@ -168,8 +173,10 @@ SELECT cluster_key, doc_id AS representative, n_chars AS completeness FROM (
 SELECT doc_id, CAST(length(text) AS BIGINT) AS raw_chars, CAST(length(f) AS BIGINT) AS flat_chars, sha256(f) AS flat_sha
 FROM (SELECT doc_id, text, trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g')) AS f FROM documents)""",
     "topic_mention_counts": r"""
-SELECT doc_id, CAST(len(regexp_extract_all(text, '#([^#\n]{1,100})#')) AS BIGINT) AS topics, CAST(len(regexp_extract_all(text, '@[A-Za-z0-9_]+')) AS BIGINT) AS mentions,
-  CAST(len(regexp_extract_all(text, '[!?]')) AS BIGINT) AS marks FROM documents""",
+WITH u AS (SELECT doc_id, regexp_replace(text, '(?i)(?:https?://|www\.)[^\s<>\[\]{}（）()，。！？；：、“”‘’,!;@]+', chr(1), 'g') AS t FROM documents),
+h AS (SELECT doc_id, t, regexp_replace(t, '#[^#\n]{1,100}#', chr(2) || ' ', 'g') AS m FROM u)
+SELECT doc_id, CAST(len(regexp_extract_all(t, '\x01')) AS BIGINT) AS urls, CAST(len(regexp_extract_all(m, '\x02')) AS BIGINT) AS topics,
+  CAST(len(regexp_extract_all(m, '(?:^|[^\p{L}\p{N}_.+-])@[\p{L}\p{N}_·.-]+')) AS BIGINT) AS mentions FROM h""",
     "structure_gate": f"SELECT doc_id, split_part({_GATE}, ' ', 1) AS structure_status, split_part({_GATE}, ' ', 2) AS structure_reason_code FROM documents",
     "structure_counts": f"SELECT split_part({_GATE}, ' ', 1) AS structure_status, count(*) AS n FROM documents GROUP BY 1",
     "author_pseudonyms": """
@@ -181,7 +188,9 @@ SELECT DISTINCT source, sha256(unhex(opad) || unhex(sha256(unhex(ipad) || source
     "length_bands": """
 SELECT CAST(CASE WHEN length(text) >= 400 THEN 4 WHEN length(text) >= 150 THEN 3 WHEN length(text) >= 60 THEN 2 WHEN length(text) >= 20 THEN 1 ELSE 0 END AS INTEGER) AS band,
   count(*) AS n, min(n_chars) AS shortest, max(n_chars) AS longest FROM documents GROUP BY 1""",
-    "sentence_counts": r"SELECT doc_id, CAST(len(regexp_split_to_array(text, '[.!?;]|\n')) AS BIGINT) AS pieces FROM documents",
+    "sentence_counts": r"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^。！？；!?;.\n]*[。！？；!?;.\n]|[^。！？；!?;.\n]+$'), lambda x: trim(replace(x, chr(10), ''))), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(len(p) AS BIGINT) AS pieces, CAST(list_max(list_transform(p, lambda x: length(x))) AS INTEGER) AS longest FROM p""",
     "source_digests": """
 SELECT DISTINCT source, CASE WHEN length(source) <= 1 THEN '*' WHEN length(source) = 2 THEN source[1:1] || '*' ELSE source[1:1] || repeat('*', length(source) - 2) || right(source, 1) END AS shown,
   sha256(source) AS digest FROM documents""",

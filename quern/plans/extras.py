@@ -81,15 +81,17 @@ def event_hours(spark, sf_dir):
 
 
 def vector_norms(spark, sf_dir):
-    """Vectors that pass validation, and their length after normalisation."""
-    items = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("dimension"), normalised(F.col("embedding")).alias("v"))
-    return items.select("vec_id", "dimension", F.col("v").isNotNull().alias("valid"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    """Vectors that pass validation (every seventh is spoilt: zero, or with one component missing), and what normalisation makes of them."""
+    spoilt = F.when(F.col("vec_id") % 14 == 0, F.transform("embedding", lambda x: x * 0)).when(F.col("vec_id") % 14 == 7, F.transform("embedding", lambda x, i: F.when(i != 3, x))).otherwise(F.col("embedding"))
+    items = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("dimension"), normalised(spoilt).alias("v"))
+    return items.select("vec_id", "dimension", F.col("v").isNotNull().alias("valid"), F.round(F.get("v", F.lit(0)), 5).alias("first"), F.round(F.get("v", F.lit(1)), 5).alias("second"))
 
 
 def mention_and_url_tokens(spark, sf_dir):
-    """Texts with URLs, topics and mentions added, after replacement."""
-    body = F.concat(F.lit("see https://a.example/x?y=1, "), F.col("source"), F.lit(" #"), F.col("lang"), F.lit("# @user_"), F.col("doc_id").cast("string"), F.lit(" end"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalise_ascii(body).alias("clean"))
+    """Every text, in a line with an address, a topic and a mention, after the chain's steps that need no NFKC."""
+    body = F.concat(F.lit("see https://a.example/x?y=1, "), F.col("source"), F.lit(" #"), F.col("lang"), F.lit("# @user_"), F.col("doc_id").cast("string"), F.lit(" end\n"), F.coalesce("text", F.lit("")))
+    clean = T.normalise_ascii(body)
+    return table(spark, sf_dir, "documents").select("doc_id", clean.alias("c")).select("doc_id", F.substring_index("c", "\n", 1).alias("first_line"), F.length("c").cast("bigint").alias("chars"), F.sha2(F.col("c").cast("binary"), 256).alias("sha"))
 
 
 QUERIES = {f.__name__: f for f in (leakage_components, svm_margin_oof, sigmoid_calibration, conversation_cohesion, turn_counts, event_hours, vector_norms, mention_and_url_tokens)}
@@ -105,6 +107,14 @@ kinds AS (SELECT component, bool_or(kind = 'author') AS has_author, bool_or(kind
 SELECT doc_id, component, coalesce(has_author, false) AS has_author, coalesce(has_exact, false) AS has_exact, coalesce(has_near, false) AS has_near FROM comp LEFT JOIN kinds USING (component)""",
     "turn_counts": "SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, CAST(max(length(text)) AS BIGINT) AS longest FROM conversations GROUP BY conv_id",
     "event_hours": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS events FROM events GROUP BY 1, 2",
-    "vector_norms": "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dimension, true AS valid, 1.0::DOUBLE AS norm FROM embeddings",
-    "mention_and_url_tokens": "SELECT doc_id, 'see [URL], ' || source || ' [TOPIC]' || lang || '[/TOPIC] [MENTION] end' AS clean FROM documents",
+    "vector_norms": """
+WITH v AS (SELECT vec_id, len(embedding) AS n, vec_id % 7 <> 0 AS valid, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT vec_id, CAST(n AS INTEGER) AS dimension, valid, CASE WHEN valid THEN round(e[1] / sqrt(list_inner_product(e, e)), 5) END AS first, CASE WHEN valid THEN round(e[2] / sqrt(list_inner_product(e, e)), 5) END AS second FROM v""",
+    "mention_and_url_tokens": r"""
+WITH b AS (SELECT doc_id, 'see https://a.example/x?y=1, ' || source || ' #' || lang || '# @user_' || doc_id || ' end' || chr(10) || coalesce(text, '') AS t FROM documents),
+u AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\r\n|\r', chr(10), 'g'), '(?i)(?:https?://|www\.)[^\s<>\[\]{}（）()，。！？；：、“”‘’,!;@]*[^\s<>\[\]{}（）()，。！？；：、“”‘’,!;@.:]', '[URL]', 'g') AS t FROM b),
+h AS (SELECT doc_id, regexp_replace(t, '#[ \t]*([^#\n]{1,100}?)[ \t]*#', '[TOPIC]\1[/TOPIC]', 'g') AS t FROM u),
+m AS (SELECT doc_id, regexp_replace(t, '(^|[^\p{L}\p{N}_.+-])@[\p{L}\p{N}_·.-]*[\p{L}\p{N}_·]', '\1[MENTION]', 'g') AS t FROM h),
+w AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM m), c AS (SELECT doc_id, trim(t, ' ' || chr(10)) AS c FROM w)
+SELECT doc_id, string_split(c, chr(10))[1] AS first_line, CAST(length(c) AS BIGINT) AS chars, sha256(c) AS sha FROM c""",
 }

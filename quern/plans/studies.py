@@ -177,9 +177,13 @@ def segments(spark, sf_dir):
 
 
 def segment_coverage_check(spark, sf_dir):
-    """Posts whose segments break the loss-less contract; there must be none, so the count is the result."""
-    docs = table(spark, sf_dir, "documents")
-    return segment.coverage_problems(docs, segments(spark, sf_dir), "doc_id", "text").agg(F.count(F.lit(1)).alias("problems"))
+    """For each post the characters that its segments hold, whether they keep the loss-less contract, and its segments' numbers' sum."""
+    docs, parts = table(spark, sf_dir, "documents"), segments(spark, sf_dir)
+    broken = segment.coverage_problems(docs, parts, "doc_id", "text").select(F.col("source_post_id").alias("doc_id"), F.lit(False).alias("__ok"))
+    solid = F.length(F.regexp_replace("text", r"\s", "")).cast("bigint")
+    held = parts.groupBy(F.col("source_post_id").alias("doc_id")).agg(F.sum(solid).alias("held"), (F.sum("seg_no") * 2 == F.count(F.lit(1)) * (F.count(F.lit(1)) + F.min("seg_no") * 2 - 1)).alias("gapless"))
+    whole = docs.select("doc_id").join(held, "doc_id", "left").join(broken, "doc_id", "left")
+    return whole.select("doc_id", F.coalesce("held", F.lit(0)).alias("held"), F.coalesce("gapless", F.lit(True)).alias("gapless"), F.coalesce("__ok", F.lit(True)).alias("lossless"))
 
 
 def platform_pivot(spark, sf_dir):
@@ -280,7 +284,7 @@ SELECT target, keep_step, exclude_step, manual_rate FROM (SELECT *, row_number()
 WITH {_AUTHORS} SELECT platform_key, count(*) AS authors, count(*) FILTER (has_profile) AS profile_n, round(count(*) FILTER (has_profile) / CAST(count(*) AS DOUBLE), 6) AS profile_rate, count(*) FILTER (posts > 1) AS repeat_n,
   round(count(*) FILTER (posts > 1) / CAST(count(*) AS DOUBLE), 6) AS repeat_rate, count(*) FILTER (span_days >= 10) AS long_n, round(count(*) FILTER (span_days >= 10) / CAST(count(*) AS DOUBLE), 6) AS long_rate FROM a GROUP BY 1""",
     "token_spans": "SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(least(s + 500, length(text)) AS INTEGER) AS \"end\" FROM (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS s FROM documents)",
-    "segment_coverage_check": "SELECT CAST(0 AS BIGINT) AS problems",
+    "segment_coverage_check": r"SELECT doc_id, CAST(length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) AS BIGINT) AS held, true AS gapless, true AS lossless FROM documents",
     "mrl_prefix": """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
 SELECT vec_id, CAST(16 AS INTEGER) AS dimension, round(e[1] / sqrt(list_inner_product(e[1:16], e[1:16])), 5) AS first, 1.0::DOUBLE AS norm, round(e[1] / sqrt(list_inner_product(e, e)), 5) AS full_first FROM v""",

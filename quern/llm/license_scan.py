@@ -43,27 +43,39 @@ TEMPLATES = (
     ("cc0", "cc0 1 0 universal public domain dedication", ("cc0 1 0",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
-RARE_WORDS = 6
-SLACK = 2
+#: Whole texts of short licences and the usual notices of long ones.
+FULL_TEXTS = (
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""", ("permission is hereby granted free of charge", "furnished to do so subject to the following conditions")),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""", ("for any purpose with or without fee is hereby granted",)),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""", ("redistribution and use in source and binary forms", "may be used to endorse or promote products derived from this software")),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""", ("altered source versions must be plainly marked as such", "permission is granted to anyone to use this software for any purpose")),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""", ("free and unencumbered software",)),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""", ("you may not use this file except in compliance with the license", "licensed under the apache license version 2 0")),
+    ("gpl-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""", ("either version 3 of the license",)),
+    ("gpl-2.0", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""", ("either version 2 of the license",)),
+)
+RARE_WORDS = 6  #: of a template in the index, or one of each ten, if it is long
+SLACK = 2  #: words by which an edited text may be off, and one more for each forty of its template
 LEAST_SCORE = 0.6
 
 
 class TemplateIndex:
     """Postings of each template's rarest words, and its mandatory phrases."""
 
-    def __init__(self, templates=TEMPLATES, base=BASE, rare_words: int = RARE_WORDS) -> None:
+    def __init__(self, templates=TEMPLATES + FULL_TEXTS, base=BASE, rare_words: int = RARE_WORDS) -> None:
         self.base = [(tuple(phrase.encode().split()), label) for phrase, label in base]
-        texts = [(label, text.encode().split(), [tuple(p.encode().split()) for p in phrases]) for label, text, phrases in templates]
+        texts = [(label, alnum_words(text.encode()), [tuple(p.encode().split()) for p in phrases]) for label, text, phrases in templates]
         within = Counter(w for words in [*(x[1] for x in texts), *(x[0] for x in self.base)] for w in set(words))
         total = len(texts) + len(self.base)
         self.idf = {w: math.log((1 + total) / (1 + n)) + 1 for w, n in within.items()}
         rarest = lambda words, most: sorted(set(words), key=lambda w: (-self.idf[w], w))[:most]
-        self.labels, self.full, self.phrases = [], [], []
+        self.labels, self.full, self.phrases, self.slack = [], [], [], []
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, (label, words, phrases) in enumerate(texts):
             self.labels.append(label)
             self.phrases.append([(p, self._at(words, p)) for p in phrases])
-            kept = rarest(words, rare_words)
+            self.slack.append(SLACK + len(words) // 40)
+            kept = rarest(words, max(rare_words, len(words) // 10))
             self.full.append(sum(self.idf[w] for w in kept))
             for w in kept:
                 self.postings[w] += [(k, at) for at, x in enumerate(words) if x == w]
@@ -96,7 +108,7 @@ class TemplateIndex:
         scores: dict[str, float] = {}
         for k, start in votes:
             met: dict[bytes, float] = {}
-            for near in range(start - SLACK, start + SLACK + 1):
+            for near in range(start - self.slack[k], start + self.slack[k] + 1):
                 met |= votes.get((k, near), {})
             score = sum(met.values()) / self.full[k]
             if score >= LEAST_SCORE and score > scores.get(self.labels[k], 0) and self._verified(words, k, start):
@@ -105,13 +117,13 @@ class TemplateIndex:
 
     def _verified(self, words: list[bytes], k: int, start: int) -> bool:
         for phrase, offset in self.phrases[k]:
-            for low in range(max(0, start + offset - SLACK), start + offset + SLACK + 1):
+            for low in range(max(0, start + offset - self.slack[k]), start + offset + self.slack[k] + 1):
                 if tuple(words[low : low + len(phrase)]) == phrase:
                     return True
         return False
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, base=BASE) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES + FULL_TEXTS, base=BASE) -> DataFrame:
     """A row for each row: id, n_words, places (phrase, word) of the base phrases in order, base_labels and labels
     (sorted arrays; labels also name verified templates) and score: 1 with a base phrase, else the best alignment."""
     kind = docs.schema[id_col].dataType.simpleString()

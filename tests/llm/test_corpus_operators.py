@@ -49,6 +49,10 @@ def alnum(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
 
 
+def alnum_bytes(text):
+    return [w.encode() for w in alnum(text)]
+
+
 def empty(docs):
     return docs.where("false")
 
@@ -496,6 +500,13 @@ def test_licenses(spark, docs):
         assert n == len(w) and [(p["word"], p["phrase"]) for p in places] == want
         assert base == sorted({dict(license_scan.BASE)[p] for _, p in want}) and set(base) <= set(labels)
         assert 0 <= score <= 1 and (score > 0) == bool(labels)
+    for label, text, _ in license_scan.FULL_TEXTS:
+        words = text.split()
+        edited = " ".join([*words[:20], "(by", "A. Name)", *words[20:40], *words[41:]])
+        index = license_scan.TemplateIndex()
+        for body in (text, "Copyright A. Name\n" + text.upper() + " more", edited):
+            assert label in index.scan(alnum_bytes(body))[1]
+        assert label not in index.scan(alnum_bytes(" ".join(reversed(words))))[1] and label not in index.scan(alnum_bytes(" ".join(words[-12:])))[1]
     notice = spark.createDataFrame([(1, "Text before. Released under the MIT License."), (2, "we licensed under stars"), (3, "Licensed under the Apache License, Version 2.0.")], "doc_id bigint, text string")
     assert dict(collected(license_scan.scan_licenses(notice), "id", "labels")) == {1: ["mit"], 2: [], 3: ["apache-2.0"]}
     assert license_scan.scan_licenses(docs).count() == docs.count()

@@ -32,7 +32,7 @@ from quern.llm.words import map_batches, texts_of
 #: How the vocabulary's pre-tokeniser cuts text into words (a fixed value of the format).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 MAX_VOCABULARY_MB = 64
-CACHE_WORDS = 800_000  #: a task's table of encoded words, about 250 bytes each
+CACHE_WORDS = 500_000  #: a task's table of encoded words, about 250 bytes each
 
 
 def default_vocabulary() -> str:

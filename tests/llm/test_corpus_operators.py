@@ -604,6 +604,39 @@ def test_hot_line_keys(spark):
     assert {k for k, n in dropped.items() if n} == {2000 + k for k in range(200)} | {3000 + k for k in range(100)}
 
 
+def test_hot_line_keys_lose_no_link(spark):
+    """Lines that share a window and differ in up to a fifth of their words: every plausible similar pair with a common key ends in one group."""
+    r, texts = random.Random(8), []
+    for k in range(60):
+        words = [*(f"a{r.randrange(10**6)}" for _ in range(6)), *"these eight words stand in all the lines".split(), *(f"b{r.randrange(10**6)}" for _ in range(6))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            edited = list(words)
+            for at in r.sample([*range(6), *range(14, 20)], r.choice((2, 3, 4))):
+                edited[at] = f"new{r.randrange(10**6)}"
+            texts.append(" ".join(edited))
+    seen = line_dedup.keyed(line_dedup.line_words(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text")).cache()
+    lines = {x["h"]: x for x in seen.where("key is null").collect()}
+    sims = {x["h"]: (x["sim"], x["sim2"]) for x in line_dedup.simhashes(seen.where("key is null").select("h", "n_words", "line")).collect()}
+    keys = collections.defaultdict(set)
+    for x in seen.where("key is not null").collect():
+        keys[x["h"]].add(x["key"])
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+
+    def near(a, b):
+        first, second = (apart(x, y) for x, y in zip(sims[a], sims[b]))
+        return bool(keys[a] & keys[b]) and first <= line_dedup.RADIUS and first + second <= line_dedup.RADIUS2 and edits(lines[a]["line"].split(), lines[b]["line"].split()) <= 4
+
+    hs = sorted(lines)
+    want = dict(zip(hs, plain_components(hs, near)))
+    got = dict(collected(line_dedup.fuzzy_groups(seen), "h", "component"))
+    hottest = collections.Counter(k for h in hs for k in keys[h]).most_common(1)[0][1]
+    assert hottest > 10 * line_dedup.PAIRED and len(set(want.values())) < len(hs)
+    pairs = [(a, b) for i, a in enumerate(hs) for b in hs[:i] if want[a] == want[b]]
+    assert all(got.get(a, a) == got.get(b, b) for a, b in pairs)
+    assert len(set(got.get(h, h) for h in hs)) == len(set(want.values()))
+
+
 def test_short_and_unspaced_lines_are_compared(spark, tmp_path):
     r, folder = random.Random(21), str(tmp_path)
     long = prose(31, 20)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontaminate, language_id, license_scan, line_dedup, quality_classifier, quality_rules, reshard, secret_scan, simhash_dedup
+from quern.llm import bpe, decontaminate, language_id, license_scan, line_dedup, near_copies, quality_classifier, quality_rules, reshard, secret_scan, simhash_dedup
 from quern.llm.queries import QUERIES
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, contamination int, quality string, fp string"
@@ -412,6 +412,35 @@ def test_near_stage_groups_by_shingle_similarity(spark):
     assert collected(corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), ""), "doc_id") == [(100,)]
 
 
+@pytest.mark.parametrize("nodes", [16_384, 7])
+def test_near_stage_candidates_come_from_simhash_trees(spark, nodes):
+    """SimHashes equal plain ones; a shard's tree gives every pair within the radius that the groups leave apart, in one part or several."""
+    r, texts = random.Random(5), ["", "one two", *(prose(40 + k, 30 + k) for k in range(8))]
+    got = collected(near_copies.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", "text"), "id", "n", "sim")
+    for i, n, sim in got:
+        h = [xxhash.xxh64_intdigest(x.encode(), near_copies.SEED) for x in shingles(texts[i])]
+        assert n == len(h) and sim & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    rows, fp = [], 0
+    for key in range(4):
+        base = r.getrandbits(64)
+        for k in range(40):
+            sim, fp = base, fp + 1
+            for b in r.sample(range(64), r.choice((0, 3, 9, 14, 20, 30))):
+                sim ^= 1 << b
+            component = r.choice((1, 1, 1, 1, fp))
+            rows.append((key, fp, r.choice((80, 100, 130)), sim - (1 << 64) if sim >> 63 else sim, component, component != 1))
+    alike = lambda a, b: min(a, b) >= 0.8 * max(a, b) - 1e-9
+    want = {
+        frozenset((a[1], b[1]))
+        for i, a in enumerate(rows)
+        for b in rows[:i]
+        if a[0] == b[0] and a[4] != b[4] and alike(a[2], b[2]) and ((a[3] ^ b[3]) & (2**64 - 1)).bit_count() <= near_copies.RADIUS
+    }
+    table = spark.createDataFrame(rows, "key bigint, fp bigint, n int, sim bigint, component bigint, out boolean")
+    pairs = collected(near_copies.tree_pairs(table, nodes), "src", "dst")
+    assert len(pairs) == len(want) > 100 and {frozenset(x) for x in pairs} == want
+
+
 # --- 7. quality rules
 
 

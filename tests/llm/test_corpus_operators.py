@@ -667,6 +667,49 @@ def test_hot_line_keys_lose_no_link(spark, groups):
     assert len(set(got.get(h, h) for h in hs)) == len(set(want.values()))
 
 
+def test_large_line_groups_give_few_pairs(spark, monkeypatch):
+    """A large group of near copies and lines with one passage: pairs that differ too much, or are in one group by then, are no rows of a join, and no link is lost."""
+    r, made = random.Random(12), []
+    word = lambda: r.choice(WORDS) + str(r.randrange(6))
+    base, passage = [word() for _ in range(40)], [word() for _ in range(26)]
+    texts = []
+    for k in range(360):
+        share = r.uniform(0, 0.2)
+        texts.append(" ".join(word() if r.random() < share else w for w in base))
+    texts += [" ".join([*(word() for _ in range(r.randrange(9, 18))), *passage]) for _ in range(180)]
+    texts += [" ".join(["one", "two", "three", f"x{k}"]) for k in range(300)]  # none of four words may differ
+    seen = line_dedup.keyed(line_dedup.line_words(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text")).cache()
+    across = line_dedup._across
+
+    def counted(rows):
+        pairs = across(rows).cache()
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(line_dedup, "_across", counted)
+    got = dict(collected(line_dedup.fuzzy_groups(seen), "h", "component"))
+    assert sum(made) < 30 * len(texts)
+    lines = {x["h"]: x["line"].split() for x in seen.where("key is null").collect()}
+    sims = {x["h"]: (x["sim"], x["sim2"]) for x in line_dedup.simhashes(seen.where("key is null").select("h", "n_words", "line")).collect()}
+    keys, bags = collections.defaultdict(set), {h: collections.Counter(w) for h, w in lines.items()}
+    for x in seen.where("key is not null").collect():
+        keys[x["h"]].add(x["key"])
+
+    def near(a, b):
+        first, second = (((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(sims[a], sims[b]))
+        most = max(len(lines[a]), len(lines[b])) // 5
+        met = bool(keys[a] & keys[b]) and (len(lines[a]) < 10 or (first <= line_dedup.RADIUS and first + second <= line_dedup.RADIUS2))
+        return met and max((bags[a] - bags[b]).total(), (bags[b] - bags[a]).total()) <= most and edits(lines[a], lines[b]) <= most
+
+    hs = sorted(lines)
+    want = dict(zip(hs, plain_components(hs, near)))
+    members = collections.defaultdict(set)
+    for h in hs:
+        members[want[h]].add(got.get(h, h))
+    assert max(collections.Counter(want.values()).values()) > 250 and all(len(x) == 1 for x in members.values())
+    assert len({got.get(h, h) for h in hs if len(lines[h]) == 4}) == 300
+
+
 def test_short_and_unspaced_lines_are_compared(spark, tmp_path):
     r, folder = random.Random(21), str(tmp_path)
     long = prose(31, 20)

@@ -367,6 +367,27 @@ def test_top_k_of_many_queries_goes_in_blocks(spark):
     assert len(whole) == 180 and rows(block=20) == whole
 
 
+def test_top_k_packs_pairs_and_keeps_ties_and_blank_vectors(spark, monkeypatch):
+    r = random.Random(6)
+    vectors = [[r.choice((-1.0, 1.0, 0.5)) for _ in range(3)] for _ in range(2500)]
+    vectors[7] = vectors[11] = [0.0, 0.0, 0.0]
+    items = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>")
+    found = similarity.cosine_top_k(items.where("vec_id < 20"), items, "vec_id", "embedding", 4)
+    unit = np.array(vectors) / np.maximum(np.linalg.norm(vectors, axis=1), 1e-300)[:, None]
+    want = set()
+    for q in range(20):
+        scores = [(-2.0 if q in (7, 11) or i in (7, 11) else round(float(unit[q] @ unit[i]), 6), -i) for i in range(2500) if i != q]
+        want |= {(q, k + 1, -i, None if c == -2.0 else c) for k, (c, i) in enumerate(sorted(scores, reverse=True)[:4])}
+    assert {tuple(x) for x in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan[: plan.index("NestedLoopJoin")] and plan.count("MapInPandas") >= 3, "no row for each pair"
+    monkeypatch.setattr(similarity, "HELD", 64)
+    ids, start = np.arange(2500), (np.full((20, 4), similarity.LEAST - 1), np.zeros((20, 4), int))
+    unit[[7, 11]] = np.nan
+    score, names = similarity._best(ids[:20], unit[:20], ids, unit, 4, start)
+    assert {(q, k + 1, int(names[q, k])) for q in range(20) for k in range(4)} == {x[:3] for x in want}
+
+
 # --- sampling designs and resamples
 
 

@@ -397,6 +397,15 @@ def test_top_k_packs_pairs_and_keeps_ties_and_blank_vectors(spark, monkeypatch):
     assert {(q, k + 1, int(names[q, k])) for q in range(20) for k in range(4)} == {x[:3] for x in want}
 
 
+def test_texts_are_not_read_again_by_later_steps(spark):
+    from quern.plans import extras
+
+    for query in (extras.svm_margin_oof,):
+        found = query(spark, "/root/testdata/sf0.001")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "text" not in plan and found.count() > 0, query.__name__
+
+
 # --- sampling designs and resamples
 
 

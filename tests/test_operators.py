@@ -400,7 +400,7 @@ def test_top_k_packs_pairs_and_keeps_ties_and_blank_vectors(spark, monkeypatch):
 def test_texts_are_not_read_again_by_later_steps(spark):
     from quern.plans import extras
 
-    for query in (extras.svm_margin_oof, extras.sigmoid_calibration):
+    for query in (extras.leakage_components, extras.svm_margin_oof, extras.sigmoid_calibration):
         found = query(spark, "/root/testdata/sf0.001")
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "text" not in plan and found.count() > 0, query.__name__

@@ -178,12 +178,8 @@ def segments(spark, sf_dir):
 
 def segment_coverage_check(spark, sf_dir):
     """For each post the characters that its segments hold, whether they keep the loss-less contract, and its segments' numbers' sum."""
-    docs, parts = table(spark, sf_dir, "documents"), segments(spark, sf_dir)
-    broken = segment.coverage_problems(docs, parts, "doc_id", "text").select(F.col("source_post_id").alias("doc_id"), F.lit(False).alias("__ok"))
-    solid = F.length(F.regexp_replace("text", r"\s", "")).cast("bigint")
-    held = parts.groupBy(F.col("source_post_id").alias("doc_id")).agg(F.sum(solid).alias("held"), (F.sum("seg_no") * 2 == F.count(F.lit(1)) * (F.count(F.lit(1)) + F.min("seg_no") * 2 - 1)).alias("gapless"))
-    whole = docs.select("doc_id").join(held, "doc_id", "left").join(broken, "doc_id", "left")
-    return whole.select("doc_id", F.coalesce("held", F.lit(0)).alias("held"), F.coalesce("gapless", F.lit(True)).alias("gapless"), F.coalesce("__ok", F.lit(True)).alias("lossless"))
+    arrays = segment.segment_arrays(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return segment.coverage(arrays).withColumnRenamed("source_post_id", "doc_id")
 
 
 def platform_pivot(spark, sf_dir):

@@ -294,6 +294,28 @@ def test_segments_cover_the_text(spark):
     assert by[2][0].segment_id == hashlib.sha256(b"b:2:0").hexdigest()
 
 
+def test_short_pieces_of_plain_text_need_no_graphemes():
+    slow = lambda x: segment.count_tokens(x)
+    r = random.Random(4)
+    for _ in range(500):
+        t, limit = "".join(r.choice("ab ,:，é\n\t漢。ñ.\u0301\r👍") for _ in range(r.randint(1, 90))), r.randint(1, 9)
+        assert list(segment._short(t, 0, len(t), limit, segment.count_tokens)) == list(segment._short(t, 0, len(t), limit, slow)), (t, limit)
+    assert list(segment._short_plain("ab, cdef" * 3, 0, 24, 5)) == list(segment._short("ab, cdef" * 3, 0, 24, 5, slow))
+
+
+def test_coverage_of_arrays_finds_what_the_table_check_finds(spark):
+    seg = lambda no, t, a, b: (no, t, a, b, "end")
+    rows = [
+        (0, None, []), (1, "a b", [seg(0, "a b", 0, 3)]), (2, "ab cd", [seg(0, "ab", 0, 2), seg(1, "cd", 3, 5)]), (3, "ab cd", [seg(0, "ab", 0, 2)]), (4, "ab", [seg(0, "ax", 0, 2)]), (5, "x", []),
+        (6, "aab", [seg(0, "aa", 0, 2), seg(1, "a", 1, 2)]), (7, "ab cd", [seg(0, "ab", 0, 2), seg(2, "cd", 3, 5)]),
+    ]
+    arrays = spark.createDataFrame(rows, "source_post_id bigint, text string, segments array<struct<seg_no:int,text:string,start:int,end:int,reason:string>>")
+    got = {r.source_post_id: (r.held, r.gapless, r.lossless) for r in segment.coverage(arrays).collect()}
+    assert got == {0: (0, True, True), 1: (2, True, True), 2: (4, True, True), 3: (2, True, False), 4: (2, True, False), 5: (0, True, False), 6: (3, True, False), 7: (4, False, True)}
+    table = arrays.select("source_post_id", F.explode("segments").alias("s")).select("source_post_id", "s.*")
+    assert {r.source_post_id for r in segment.coverage_problems(arrays, table, "source_post_id", "text").collect()} == {k for k, x in got.items() if not x[2]}
+
+
 def test_digests(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "k bigint, v string")
     assert lineage.table_digest(df).first() == lineage.table_digest(df.orderBy(F.desc("k"))).first() != lineage.table_digest(df.distinct()).first()

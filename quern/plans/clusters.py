@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import clusters, graph, similarity
 from quern.operators.routing import length_band
-from quern.session import table
+from quern.session import ready_python, table
 
 _KEY = "sha256(regexp_replace(lower(text), '\\s+', '', 'g'))"
 
@@ -47,6 +47,7 @@ def normalised_lengths(spark, sf_dir):
 
 def normalised_text(spark, sf_dir):
     """The whole normalisation chain (NFKC, emoji by grapheme)."""
+    ready_python(spark)
     clean = T.normalise(F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", F.sha2(clean.cast("binary"), 256).alias("model_sha"), T.exact_key(F.lit(None).cast("string"), F.col("text")).alias("exact_key"), F.length(clean).cast("bigint").alias("model_chars"))
 
@@ -76,8 +77,9 @@ def structure_counts(spark, sf_dir):
 
 def normalised_posts(spark, sf_dir):
     """Every post as one struct of the whole chain: projection, normalisation, gate, keys."""
+    ready_python(spark)
     post = T.normalise_post(F.lit(None).cast("string"), F.col("text"), F.lit("success"))
-    return _docs(spark, sf_dir).select("doc_id", post.alias("p")).select("doc_id", "p.normalized_sha256", "p.exact_canonical_sha256", "p.structure_status", "p.structure_reason_code", "p.title_length", "p.body_length")
+    return _docs(spark, sf_dir).select("doc_id", F.inline(F.array(post))).select("doc_id", "normalized_sha256", "exact_canonical_sha256", "structure_status", "structure_reason_code", "title_length", "body_length")
 
 
 def length_bands(spark, sf_dir):

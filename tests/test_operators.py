@@ -316,6 +316,16 @@ def test_coverage_of_arrays_finds_what_the_table_check_finds(spark):
     assert {r.source_post_id for r in segment.coverage_problems(arrays, table, "source_post_id", "text").collect()} == {k for k, x in got.items() if not x[2]}
 
 
+def test_normalisation_queries_bound_batches_and_make_parts_once(spark):
+    from quern.plans import clusters as plans
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    plans.normalised_text(spark, "/root/testdata/sf0.001")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    plan = plans.normalised_posts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replacement_tokens_only") <= 1, "the gate of a post is made once"
+
+
 def test_digests(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "k bigint, v string")
     assert lineage.table_digest(df).first() == lineage.table_digest(df.orderBy(F.desc("k"))).first() != lineage.table_digest(df.distinct()).first()

@@ -326,6 +326,17 @@ def test_normalisation_queries_bound_batches_and_make_parts_once(spark):
     assert plan.count("replacement_tokens_only") <= 1, "the gate of a post is made once"
 
 
+def test_windows_of_a_long_text_take_linear_time(spark):
+    import time
+
+    t = "aé漢👍b." * 20_000
+    df = spark.createDataFrame([(t,), ("ab",), ("",), (None,), ("👍é漢x",)], "t string")
+    at = time.time()
+    got = [r.g for r in df.select(text.char_windows(F.col("t"), 3, 5).alias("g")).collect()]
+    assert time.time() - at < 30
+    assert got == [[x[i : i + w] for w in (3, 4, 5) for i in range(len(x) - w + 1)] for x in (t, "ab", "", "", "👍é漢x")]
+
+
 def test_digests(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "k bigint, v string")
     assert lineage.table_digest(df).first() == lineage.table_digest(df.orderBy(F.desc("k"))).first() != lineage.table_digest(df.distinct()).first()
